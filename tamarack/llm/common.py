@@ -48,3 +48,11 @@ def odd(seed: int, n: int) -> np.ndarray:
 def fold(column: str = "doc_id"):
     """crc32 of an id as text."""
     return F.crc32(F.col(column).cast("string"))
+
+
+def beside(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df (a written table of a few numbers a row) marked for broadcast, if it has at most so many rows.
+
+    Beyond that it is left to a shuffled join, which gives the same rows.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

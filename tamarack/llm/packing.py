@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import map_in_arrow
 from . import common
 
 SIZE = 2048
@@ -89,7 +90,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_in_arrow(docs.select("doc_id", "text"), cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import decontaminate, langid, linedup, neardup, packing
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_decontamination": decontaminate.query,
+    "op3_line_dedup": linedup.query,
+    "op4_near_dedup": neardup.query,
+    "op8_language_id": langid.query,
 }
 ORACLE_SQL: dict[str, str] = {}

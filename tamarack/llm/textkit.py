@@ -71,13 +71,13 @@ class Words:
     first word, with one more entry for the end.
     """
 
-    def __init__(self, texts: list[bytes], separator: bytes = b" ", folded: bool = True, space: np.ndarray = SPACE):
+    def __init__(self, texts: list[bytes], separator: bytes = b" ", folded: bool = True, solid=None):
+        """solid: tells, from the buffer, which bytes belong to words; by default all but SPACE."""
         self.buffer = buffer = np.frombuffer(separator.join([*texts, b""]), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_end = np.cumsum(lengths + 1) - 1
         self.text_start = self.text_end - lengths
-        solid = ~space[buffer]
-        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        edge = np.flatnonzero(np.diff((solid or (lambda x: ~SPACE[x]))(buffer), prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.start, np.append(self.text_start, len(buffer) + 1))
         self.first[-1] = len(self.start)
