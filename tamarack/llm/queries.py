@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linedup, neardup, packing
+from . import ann, decontaminate, htmltext, langid, licenses, linedup, lm, neardup, packing, secrets
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_decontamination": decontaminate.query,
     "op3_line_dedup": linedup.query,
     "op4_near_dedup": neardup.query,
+    "op5_html_extraction": htmltext.query,
+    "op6_secret_scan": secrets.query,
+    "op7_lm_scoring": lm.query,
     "op8_language_id": langid.query,
+    "op9_nearest_neighbours": ann.query,
+    "op10_license_scan": licenses.query,
 }
+#: Hashes, trained models and approximate search are not for SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}
