@@ -179,7 +179,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, contained:
     met = common.written(met.withColumn("shift", F.col("at") - F.col("place")), "met")
     key = ["doc_id", "rid", "item_id", "item_rid"]
     # Slots that an alignment fills inconsistently: a value that stands for two.
-    pairs = met.where("raw <> own").select(*key, "shift", F.explode(F.arrays_zip("slots", "values")).alias("z")).select(*key, "shift", F.col("z.slots").alias("a"), F.col("z.values").alias("b")).distinct()
+    pairs = met.select(*key, "shift", F.explode(F.arrays_zip("slots", "values")).alias("z")).select(*key, "shift", F.col("z.slots").alias("a"), F.col("z.values").alias("b")).distinct()
     judged = pairs.groupBy(*key, "shift").agg((F.count("*") == F.countDistinct("a")).alias("one"), (F.count("*") == F.countDistinct("b")).alias("back"))
     bad = judged.where("not (one and back)").select(*(F.col(c).alias(f"{c}_") for c in [*key, "shift"]), F.lit(True).alias("bad"))
     same = F.lit(True)
