@@ -1,4 +1,451 @@
-"""Queries over the driver's tables, by name."""
+"""Queries over the driver's tables and the same in SQL.
+
+A *file* stands for a row of ``documents``, with a path made of source, language and id; a
+*chunk with a vector* for a row of ``embeddings``, whose label names its file.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import metrics as M
+from ..functions import text as T
+from ..operators import diagnostics, evaluate, fusion, graph, prompt, retrieval, sync
+from ..operators.embed import HashingEmbedder
+from ..streaming import progress
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+QUESTION = "which source holds the thing that was there before the other one"
+TEMPLATE = "Answer from the snippets.\n<<BUG_TEXT>>\n---\n<<SNIPPETS>>"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(column, name: str, digits: int = 6):
+    return F.round(column, digits).alias(name)
+
+
+def files(spark, sf_dir) -> DataFrame:
+    """doc_id, source, text: documents as files."""
+    ext = F.element_at(F.array(*map(F.lit, (".py", ".java", ".md", ".txt", ".bin"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext))
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("source"), "text")
+
+
+_FILES = """files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || (['.py','.java','.md','.txt','.bin'])[doc_id % 5 + 1] AS source, text FROM documents)"""
+_CHUNKS = """chunks AS (SELECT doc_id, source, i AS chunk_index, substr(text, CAST(i * 600 + 1 AS BIGINT), 800) AS chunk, text
+  FROM (SELECT *, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 800 THEN 1 ELSE 1 + CAST(ceil((length(text) - 800) / 600.0) AS BIGINT) END)) AS i FROM files))"""
+
+
+def chunks(spark, sf_dir) -> DataFrame:
+    return files(spark, sf_dir).select("doc_id", "source", F.posexplode(T.windows(F.col("text"))).alias("chunk_index", "chunk"))
+
+
+@_query(f"""WITH {_FILES} SELECT doc_id, source, '.' || regexp_extract(source, '\\.([a-z]+)$', 1) AS ext, CAST(strlen(text) AS BIGINT) AS n_bytes FROM files
+  WHERE doc_id % 5 < 4 AND NOT source LIKE 'src3/%' AND strlen(text) <= 9000 AND trim(text) <> ''""")
+def q01_scan_filter_files(spark, sf_dir):
+    f = files(spark, sf_dir).where(T.indexable(F.col("source")) & ~T.in_excluded(F.col("source"), ["src3", "build"]))
+    size = F.octet_length("text").cast("long")
+    return f.where((size <= 9000) & T.not_blank(F.col("text"))).select("doc_id", "source", T.extension(F.col("source")).alias("ext"), size.alias("n_bytes"))
+
+
+@_query(f"WITH {_FILES}, {_CHUNKS} SELECT doc_id, chunk_index, chunk FROM chunks")
+def q02_chunk_text_800_200(spark, sf_dir):
+    return chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
+
+
+_DIRTY = "chr(1) || chr(11) || '  ' || chunk || chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || chr(160) || ' '"
+
+
+@_query(rf"""WITH {_FILES}, {_CHUNKS} SELECT doc_id, chunk_index,
+  regexp_replace(regexp_replace(regexp_replace('// ' || source || chr(10) || {_DIRTY}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^[\s\pZ\x{{85}}]+|[\s\pZ\x{{85}}]+$', '', 'g') AS document FROM chunks""")
+def q03_chunk_sanitize(spark, sf_dir):
+    dirty = F.concat(F.lit("\x01\x0b  "), F.col("chunk"), F.lit("\n\n\n\n\nend \xa0 "))
+    return chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), T.sanitize(T.with_header(F.col("source"), dirty)).alias("document"))
+
+
+@_query(r"""WITH junk AS (SELECT CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat(text, 10) WHEN 2 THEN '  ' || chr(10) ELSE repeat(chr(8203), CAST(least(length(text), 400) AS BIGINT)) || substr(text, 1, 300) END AS x FROM documents),
+  why AS (SELECT CASE WHEN regexp_replace(x, '[\s\pZ]', '', 'g') = '' THEN 'empty' WHEN length(x) > 8000 THEN 'too_long'
+    WHEN length(x) > 100 AND (length(regexp_replace(x, '[\pC\pZ]', '', 'g')) + length(x) - length(regexp_replace(x, '[ \n\t\r]', '', 'g'))) / CAST(length(x) AS DOUBLE) < 0.7 THEN 'unprintable' ELSE 'valid' END AS reason FROM junk)
+  SELECT reason, count(*) AS n FROM why GROUP BY reason""")
+def q04_chunk_validate_reasons(spark, sf_dir):
+    k, t = F.col("doc_id") % 4, F.col("text")
+    junk = F.when(k == 0, t).when(k == 1, F.repeat(t, 10)).when(k == 2, "  \n").otherwise(F.concat(F.repeat(F.lit("​"), F.least(F.length(t), F.lit(400))), F.substring(t, 1, 300)))
+    return _table(spark, sf_dir, "documents").select(F.coalesce(T.invalid_reason(junk), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_FILES}, {_CHUNKS} SELECT source || '::chunk_' || chunk_index AS id, source, chunk_index, sha256(text) AS file_hash, CAST(length(chunk) AS BIGINT) AS n_chars FROM chunks WHERE doc_id % 5 < 4")
+def q05_chunk_records(spark, sf_dir):
+    f = files(spark, sf_dir).where(T.indexable(F.col("source"))).select("source", F.sha2("text", 256).alias("file_hash"), F.posexplode(T.windows(F.col("text"))).alias("chunk_index", "chunk"))
+    return f.select(T.chunk_id(F.col("source"), F.col("chunk_index")).alias("id"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), "file_hash", F.length("chunk").cast("long").alias("n_chars"))
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("file_"), F.col("label").cast("string")).alias("source"), "embedding")
+
+
+def asks(spark, sf_dir, every: int = 50) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _dot(a, b, f="x[1]::DOUBLE * x[2]::DOUBLE"):
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: {f}))"
+
+
+def _dist(metric="l2sq", a="c.embedding", b="q.embedding"):
+    if metric == "l2sq":
+        return _dot(a, b, "(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)")
+    return f"-{_dot(a, b)}" if metric == "ip" else f"1 - {_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)}))"
+
+
+def _near(metric="l2sq", every=50):
+    return f"near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, 'file_' || c.label AS source, {_dist(metric)} AS distance FROM embeddings c, embeddings q WHERE q.vec_id % {every} = 0)"
+
+
+_TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near)"
+
+
+def _dedup(k, of):
+    return f"""one AS (SELECT query_id, id, source, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY distance, id) AS nth FROM {of}) WHERE nth = 1),
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM one) WHERE rank <= {k})"""
+
+
+
+def _hits(df: DataFrame, *more) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", _r("distance", "distance"), *more)
+
+
+@_query(f"SELECT vec_id AS id, round(distance, 6) AS distance FROM (SELECT c.vec_id, {_dist()} AS distance FROM embeddings c, embeddings q WHERE q.vec_id = 0) ORDER BY distance, vec_id LIMIT 30")
+def q06_knn_top_k(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    first = v.where("id = 0").first().embedding  # one vector
+    return retrieval.nearest_one(v.drop("source"), first, 30).select("id", _r("distance", "distance"))
+
+
+@_query(f"WITH {_near()}, {_TOP}, {_dedup(5, '(SELECT * FROM top WHERE rank <= 15)')} SELECT query_id, rank, id, source, round(distance, 6) AS distance FROM hits")
+def q07_knn_overfetch_dedup(spark, sf_dir):
+    return _hits(retrieval.nearest_sources(vectors(spark, sf_dir), asks(spark, sf_dir), 5))
+
+
+@_query(f"WITH {_near()}, {_dedup(5, 'near')} SELECT query_id, rank, id, source, round(distance, 6) AS distance FROM hits")
+def q08_knn_exact_distinct(spark, sf_dir):
+    return _hits(retrieval.nearest_sources(vectors(spark, sf_dir), asks(spark, sf_dir), 5, exact_distinct=True))
+
+
+@_query(f"""WITH {_near()}, {_dedup(8, 'near')}, s AS (SELECT *, min(distance) OVER w AS lo, max(distance) OVER w AS hi FROM hits WINDOW w AS (PARTITION BY query_id))
+  SELECT query_id, rank, id, source, round(distance, 6) AS distance, round(CASE WHEN hi = lo THEN 100.0 ELSE greatest(0.0, least(100.0, 100 * (hi - distance) / (hi - lo))) END, 6) AS score FROM s""")
+def q09_relative_scores(spark, sf_dir):
+    return _hits(retrieval.relative_scores(retrieval.nearest_sources(vectors(spark, sf_dir), asks(spark, sf_dir), 8, exact_distinct=True)), _r("score", "score"))
+
+
+@_query(f"WITH {_near(every=20)}, {_TOP} SELECT query_id, rank, id, source, round(distance, 6) AS distance FROM top WHERE rank <= 10")
+def q10_knn_batch(spark, sf_dir):
+    return _hits(retrieval.nearest(vectors(spark, sf_dir), asks(spark, sf_dir, 20), 10))
+
+
+@_query(f"""WITH {_near("cosine")}, {_TOP}, a AS (SELECT 'cosine' AS metric, query_id, rank, id, round(distance, 6) AS distance FROM top WHERE rank <= 10),
+  b AS (SELECT 'ip' AS metric, query_id, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {_dist("ip")} AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10)
+  SELECT * FROM a UNION ALL SELECT * FROM b""")
+def q11_knn_cosine_ip(spark, sf_dir):
+    one = lambda m: retrieval.nearest(vectors(spark, sf_dir), asks(spark, sf_dir), 10, m).select(F.lit(m).alias("metric"), "query_id", F.col("rank").cast("long").alias("rank"), "id", _r("distance", "distance"))
+    return one("cosine").unionByName(one("ip"))
+
+
+def _hashed(text):
+    buckets = f"list_transform(regexp_extract_all(lower({text}), '[a-z0-9_]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64)"
+    return f"(SELECT list_transform(range(64), lambda i: len(list_filter(bk, lambda y: y = i))::DOUBLE) FROM (SELECT {buckets} AS bk))"
+
+
+@_query(f"""WITH {_FILES}, {_CHUNKS}, doc AS (SELECT source, chunk_index, source || '::chunk_' || chunk_index AS id, trim('// ' || source || chr(10) || chunk, ' ' || chr(10) || chr(9) || chr(13)) AS document FROM chunks WHERE doc_id % 5 < 4),
+  e AS (SELECT *, {_hashed("document")} AS n FROM doc), v AS (SELECT source, chunk_index, id, list_transform(n, lambda x: x / sqrt(list_sum(list_transform(n, lambda y: y * y)))) AS embedding FROM e),
+  qn AS (SELECT {_hashed(f"'{QUESTION}'")} AS n), q AS (SELECT list_transform(n, lambda x: x / sqrt(list_sum(list_transform(n, lambda y: y * y)))) AS embedding FROM qn),
+  near AS (SELECT 0 AS query_id, source, chunk_index, id, {_dist(a="v.embedding", b="q.embedding")} AS distance FROM v, q),
+  top AS (SELECT * FROM near ORDER BY distance, id LIMIT 36), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, id) AS nth FROM top) WHERE nth = 1 ORDER BY distance, id LIMIT 12)
+  SELECT row_number() OVER (ORDER BY distance, id) AS rank, source, CAST(chunk_index AS BIGINT) AS chunk_index, round(distance, 6) AS distance,
+    round(CASE WHEN max(distance) OVER () = min(distance) OVER () THEN 100.0 ELSE 100 * (max(distance) OVER () - distance) / (max(distance) OVER () - min(distance) OVER ()) END, 6) AS score FROM one""")
+def q12_text_search_hashing(spark, sf_dir):
+    embedder = HashingEmbedder(64)
+    f = files(spark, sf_dir).where(T.indexable(F.col("source"))).select("source", F.posexplode(T.windows(F.col("text"))).alias("chunk_index", "chunk"))
+    stored = f.select(T.chunk_id(F.col("source"), F.col("chunk_index")).alias("id"), "source", "chunk_index", T.sanitize(T.with_header(F.col("source"), F.col("chunk"))).alias("document"))
+    question = embedder.add(spark.createDataFrame([(0, QUESTION)], "query_id long, text string"), "text", "embedding")
+    hits = retrieval.relative_scores(retrieval.nearest_sources(embedder.add(stored.where(T.invalid_reason(F.col("document")).isNull())).drop("document"), question, 12))
+    return hits.select(F.col("rank").cast("long").alias("rank"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), _r("distance", "distance"), _r("score", "score"))
+
+
+def manifests(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(current, indexed) source, file_hash: what was indexed lacks some files and has other hashes for some."""
+    f = files(spark, sf_dir).select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), F.col("file_hash"))).otherwise(F.col("file_hash"))
+    return f.where("doc_id % 13 <> 0").drop("doc_id"), f.where("doc_id % 10 <> 0").select("source", old.alias("file_hash"))
+
+
+_DIFF = f"""{_FILES}, h AS (SELECT doc_id, source, sha256(text) AS now FROM files), cur AS (SELECT * FROM h WHERE doc_id % 13 <> 0),
+  old AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'x' || now ELSE now END AS was FROM h WHERE doc_id % 10 <> 0),
+  diff AS (SELECT coalesce(cur.source, old.source) AS source, coalesce(now, was) AS file_hash, CASE WHEN was IS NULL THEN 'add' WHEN now IS NULL THEN 'delete' WHEN now = was THEN 'unchanged' ELSE 'update' END AS action FROM cur FULL OUTER JOIN old ON cur.source = old.source)"""
+
+
+@_query(f"WITH {_DIFF} SELECT * FROM diff")
+def q13_hash_diff(spark, sf_dir):
+    return sync.classify(*manifests(spark, sf_dir))
+
+
+@_query(f"WITH {_DIFF} SELECT action, count(*) AS n FROM diff GROUP BY action")
+def q14_diff_summary(spark, sf_dir):
+    return sync.summary(sync.classify(*manifests(spark, sf_dir)))
+
+
+@_query(f"WITH {_DIFF}, {_CHUNKS} SELECT c.source || '::chunk_' || c.chunk_index AS id, c.source, CAST(length(c.chunk) AS BIGINT) AS n_chars, CASE WHEN diff.action = 'unchanged' THEN 'kept' ELSE 'new' END AS origin FROM chunks c JOIN diff ON c.source = diff.source WHERE diff.action <> 'delete'")
+def q15_merged_index(spark, sf_dir):
+    classified = sync.classify(*manifests(spark, sf_dir))
+    every = chunks(spark, sf_dir).select("doc_id", T.chunk_id(F.col("source"), F.col("chunk_index")).alias("id"), "source", F.length("chunk").cast("long").alias("n_chars"))
+    old = every.where("doc_id % 10 <> 0").select("id", "source", "n_chars", F.lit("kept").alias("origin"))
+    changed = classified.where(F.col("action").isin("add", "update")).select("source")
+    fresh = every.join(changed, "source", "left_semi").select("id", "source", "n_chars", F.lit("new").alias("origin"))
+    return sync.merge(old, classified, fresh)
+
+
+def runs(spark, sf_dir, n: int = 10) -> DataFrame:
+    """query_id, sources, expected: the files of the n nearest chunks of every 25th vector, and its own file."""
+    truth = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("file_"), F.col("label").cast("string"))).alias("expected"))
+    near = retrieval.nearest(vectors(spark, sf_dir), asks(spark, sf_dir, 25), n)
+    return evaluate.retrieved(near, ["query_id"]).join(truth, "query_id")
+
+
+def _runs(n: int = 10) -> str:
+    return f"{_near(every=25)}, {_TOP}, hit AS (SELECT top.query_id, top.rank, (contains(top.source, 'file_' || q.label))::INT AS ok FROM top JOIN embeddings q ON q.vec_id = top.query_id WHERE rank <= {n})"
+
+
+_METRICS = "m AS (SELECT query_id, sum(ok) FILTER (rank <= 5) / 5.0 AS p5, max(ok)::DOUBLE AS r10, coalesce(1.0 / min(rank) FILTER (ok = 1), 0) AS mrr FROM hit GROUP BY query_id)"
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    return evaluate.judge(runs(spark, sf_dir), F.col("sources"), F.col("expected"))
+
+
+@_query(f"WITH {_runs()}, {_METRICS} SELECT query_id, round(p5, 6) AS p5 FROM m")
+def q16_precision_at_5(spark, sf_dir):
+    return judged(spark, sf_dir).select("query_id", _r("p5", "p5"))
+
+
+@_query(f"WITH {_runs()}, {_METRICS} SELECT query_id, round(r10, 6) AS r10 FROM m")
+def q17_recall_at_10(spark, sf_dir):
+    return judged(spark, sf_dir).select("query_id", _r("r10", "r10"))
+
+
+@_query(f"WITH {_runs()}, {_METRICS} SELECT query_id, round(mrr, 6) AS mrr FROM m")
+def q18_mrr(spark, sf_dir):
+    return judged(spark, sf_dir).select("query_id", _r("mrr", "mrr"))
+
+
+@_query(f"WITH {_runs()}, {_METRICS}, a AS (SELECT avg(p5) AS p5, avg(r10) AS r10, avg(mrr) AS mrr, count(*) FILTER (r10 < 0.25) AS below_floor FROM m) SELECT round(p5, 6) AS p5, round(r10, 6) AS r10, round(mrr, 6) AS mrr, below_floor, p5 >= 0.35 AS p5_ok, r10 >= 0.5 AS r10_ok, mrr >= 0.4 AS mrr_ok FROM a")
+def q19_eval_means_gates(spark, sf_dir):
+    means = judged(spark, sf_dir).agg(*(F.avg(c).alias(c) for c in ("p5", "r10", "mrr")), F.count(F.when(F.col("r10") < M.GATES["floor"], 1)).alias("below_floor"))
+    return evaluate.gates(means).select(_r("p5", "p5"), _r("r10", "r10"), _r("mrr", "mrr"), "below_floor", "p5_ok", "r10_ok", "mrr_ok")
+
+
+GRID = [(s, o) for s in (400, 800, 1200) for o in (0, 100, 200)]
+
+
+@_query("""WITH g AS (SELECT s AS size, o AS overlap FROM (SELECT unnest([400, 800, 1200]) AS s), (SELECT unnest([0, 100, 200]) AS o)),
+  n AS (SELECT size, overlap, doc_id, length(text) AS l, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= size THEN 1 ELSE 1 + CAST(ceil((length(text) - size) / CAST(size - overlap AS DOUBLE)) AS BIGINT) END AS c FROM documents, g),
+  w AS (SELECT size, overlap, doc_id, length(substr(text, CAST(i * (size - overlap) + 1 AS BIGINT), size)) AS len FROM (SELECT n.*, d.text, unnest(range(0, c)) AS i FROM n JOIN documents d USING (doc_id)))
+  SELECT CAST(size AS BIGINT) AS size, CAST(overlap AS BIGINT) AS overlap, count(*) AS chunks, count(DISTINCT doc_id) AS docs, round(avg(len), 6) AS mean_chars FROM w GROUP BY ALL""")
+def q20_chunk_grid_sweep(spark, sf_dir):
+    grid = F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in GRID)))
+    swept = _table(spark, sf_dir, "documents").select("doc_id", "text", grid.alias("g")).select("doc_id", "g.size", "g.overlap", F.explode(T.windows(F.col("text"), F.col("g.size"), F.col("g.overlap"))).alias("chunk"))
+    per = swept.groupBy("size", "overlap", "doc_id").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"))
+    return per.groupBy(F.col("size").cast("long").alias("size"), F.col("overlap").cast("long").alias("overlap")).agg(F.sum("n").alias("chunks"), F.count("*").alias("docs"), _r(F.sum("chars") / F.sum("n"), "mean_chars"))
+
+
+DIMS = (8, 16, 64)
+
+
+def _by_dims(spark, sf_dir) -> DataFrame:
+    out = None
+    truth = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("file_"), F.col("label").cast("string")).alias("name"))
+    for d in DIMS:
+        cut = lambda df, d=d: df.withColumn("embedding", F.slice("embedding", 1, d))
+        near = retrieval.nearest(cut(vectors(spark, sf_dir)), cut(asks(spark, sf_dir, 25)), 10)
+        one = evaluate.judge(evaluate.retrieved(near, ["query_id"]).join(truth, "query_id"), F.col("sources"), F.array("name")).withColumn("config", F.lit(f"dims_{d}"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _dims_sql():
+    parts = []
+    for d in DIMS:
+        dist = _dist(a=f"c.embedding[1:{d}]", b=f"q.embedding[1:{d}]")
+        parts.append(f"SELECT 'dims_{d}' AS config, 'file_' || q.label AS name, q.vec_id AS query_id, c.label = q.label AS ok, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dist}, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 25 = 0")
+    return "r AS (" + " UNION ALL ".join(parts) + "), m AS (SELECT config, name, query_id, sum(ok::INT) FILTER (rank <= 5) / 5.0 AS p5 FROM r WHERE rank <= 10 GROUP BY ALL), c AS (SELECT config, name, avg(p5) AS p5 FROM m GROUP BY ALL)"
+
+
+@_query(f"""WITH {_dims_sql()}, w AS (SELECT config FROM c GROUP BY config ORDER BY avg(p5) DESC, config LIMIT 1)
+  SELECT name, round(max(p5) FILTER (config = 'dims_8'), 6) AS dims_8, round(max(p5) FILTER (config = 'dims_16'), 6) AS dims_16, round(max(p5) FILTER (config = 'dims_64'), 6) AS dims_64,
+    round(max(p5) FILTER (config = 'dims_64') - max(p5) FILTER (config = 'dims_8'), 6) AS delta, (SELECT config FROM w) AS best FROM c GROUP BY name""")
+def q21_sweep_pivot_and_best(spark, sf_dir):
+    cases = _by_dims(spark, sf_dir).groupBy("config", "name").agg(F.avg("p5").alias("p5"))
+    names = [f"dims_{d}" for d in DIMS]
+    table = evaluate.side_by_side(cases, names, "p5").crossJoin(evaluate.best(cases, "p5").select(F.col("config").alias("best")))
+    return table.select("name", *(_r(c, c) for c in names), _r(F.col("dims_64") - F.col("dims_8"), "delta"), "best")
+
+
+@_query(f"""WITH {_runs(40)} SELECT CAST(k AS BIGINT) AS k, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall FROM (SELECT k, query_id, sum(ok) / CAST(k AS DOUBLE) AS p, max(ok)::DOUBLE AS r FROM hit, (SELECT unnest([8, 12, 20, 40]) AS k) WHERE rank <= k GROUP BY k, query_id) GROUP BY k""")
+def q22_topk_sweep(spark, sf_dir):
+    r = runs(spark, sf_dir, 40)
+    per = r.select(F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), M.precision_at(F.col("sources"), F.col("expected"), k).alias("p"), M.recall_at(F.col("sources"), F.col("expected"), k).alias("r")) for k in (8, 12, 20, 40)))).alias("x"))
+    return per.groupBy("x.k").agg(_r(F.avg("x.p"), "precision"), _r(F.avg("x.r"), "recall"))
+
+
+_TOK = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z][A-Za-z0-9]{{2,}}'), lambda w: lower(w)))"
+
+
+@_query(f"""WITH p AS (SELECT conv_id, turn, role, text AS question, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  a AS (SELECT conv_id, turn, answer, {_TOK.format("question")} AS ref, {_TOK.format("answer")} AS ans, substr(question, 1, 5) AS stem FROM p WHERE role = 'user' AND next = 'assistant' AND answer IS NOT NULL)
+  SELECT conv_id, turn, round(CASE WHEN len(ref) = 0 THEN 1.0 ELSE len(list_intersect(ref, ans)) / CAST(len(ref) AS DOUBLE) END, 6) AS overlap, CAST(len(list_filter(['the', 'and', 'zzz'], lambda k: NOT contains(lower(answer), k))) AS BIGINT) AS n_missing,
+    round((contains(lower(answer), 'answer')::INT + contains(lower(answer), 'that')::INT) / 2.0, 6) AS faithfulness FROM a""")
+def q23_answer_metrics(spark, sf_dir):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    pairs = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("reference"), F.lead("text").over(w).alias("answer"), F.lead("role").over(w).alias("next"))
+    cases = pairs.where("role = 'user' and next = 'assistant' and answer is not null")
+    cases = cases.withColumn("sources", F.array(F.lit("a/answer.py"), F.lit("b/that.md"), F.lit("c/x.py"))).withColumn("keywords", F.array(F.lit("the"), F.lit("and"), F.lit("zzz")))
+    return evaluate.answers(cases).select("conv_id", "turn", _r("overlap", "overlap"), F.size("missing").cast("long").alias("n_missing"), _r("faithfulness", "faithfulness"))
+
+
+def snippets(spark, sf_dir) -> DataFrame:
+    """query_id, rank, source, chunk_index, document, distance, score: documents as scored hits of their source."""
+    d = _table(spark, sf_dir, "documents").where("doc_id % 7 = 0")
+    w = W.partitionBy("source").orderBy("doc_id")
+    hits = d.select(F.col("source").alias("query_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("source"), (F.col("doc_id") % 3).alias("chunk_index"), F.col("text").alias("document"), (F.col("n_chars") % 97 / 97.0).alias("distance"), F.row_number().over(w).alias("rank"))
+    return retrieval.relative_scores(hits.where("rank <= 6"))
+
+
+_SNIPPETS = "hits AS (SELECT * FROM (SELECT source AS query_id, lang || '/' || doc_id AS source, doc_id % 3 AS chunk_index, text AS document, n_chars % 97 / 97.0 AS distance, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 7 = 0) WHERE rank <= 6), scored AS (SELECT *, CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 100.0 ELSE 100 * (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS score FROM hits WINDOW w AS (PARTITION BY query_id))"
+_CONTEXT = "ctx AS (SELECT query_id, string_agg('[Snippet ' || rank || ' from ' || source || ' chunk ' || chunk_index || ']' || chr(10) || document, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id)"
+
+
+@_query(f"WITH {_SNIPPETS}, {_CONTEXT} SELECT * FROM ctx")
+def q24_snippet_context(spark, sf_dir):
+    return prompt.context(snippets(spark, sf_dir))
+
+
+@_query(f"""WITH {_SNIPPETS}, {_CONTEXT} SELECT query_id, replace(replace('Answer from the snippets.' || chr(10) || '<<BUG_TEXT>>' || chr(10) || '---' || chr(10) || '<<SNIPPETS>>', '<<BUG_TEXT>>', 'why ' || query_id), '<<SNIPPETS>>', context) AS prompt,
+  'Shorten.' || chr(10) || chr(10) || 'Bug text:' || chr(10) || 'why ' || query_id AS summary FROM ctx""")
+def q25_prompt_render(spark, sf_dir):
+    q = F.concat(F.lit("why "), F.col("query_id"))
+    return prompt.context(snippets(spark, sf_dir)).select("query_id", prompt.chat_prompt(F.lit(TEMPLATE), q, F.col("context")).alias("prompt"), prompt.summary_prompt(F.lit("Shorten."), q).alias("summary"))
+
+
+@_query(f"""WITH {_SNIPPETS} SELECT query_id, rank, printf('[%02d] %5.1f%%  %s  (chunk %d)', rank, round(score, 1), source, chunk_index) || chr(10) || repeat('-', 60) || chr(10) || CASE WHEN length(document) > 600 THEN substr(document, 1, 600) || '...' ELSE document END AS line FROM scored""")
+def q25b_result_lines(spark, sf_dir):
+    return retrieval.lines(snippets(spark, sf_dir).withColumn("score", F.round("score", 1))).select("query_id", F.col("rank").cast("long").alias("rank"), "line")
+
+
+def edges(spark, sf_dir) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings").select("vec_id")
+    n = v.agg(F.count("*").alias("n"))
+    v = v.crossJoin(F.broadcast(n))  # one row
+    one = v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 1) % F.col("n")).alias("dst"), F.lit("IMPORTS").alias("edge_type"), F.lit(1.0).alias("weight"))
+    return one.unionByName(v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 3 + 2) % F.col("n")).alias("dst"), F.lit("REFERENCES").alias("edge_type"), F.lit(0.7).alias("weight")))
+
+
+_PATHS = """n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT src, dst, min(w) AS w FROM (SELECT vec_id AS src, (vec_id * 7 + 1) % n AS dst, 1.0::DOUBLE AS w FROM embeddings, n UNION ALL SELECT vec_id, (vec_id * 3 + 2) % n, 0.7::DOUBLE FROM embeddings, n) WHERE src <> dst GROUP BY ALL),
+  walk AS (SELECT vec_id AS node, 0.0::DOUBLE AS distance, 0 AS hops FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT e.dst, walk.distance + e.w, walk.hops + 1 FROM walk JOIN e ON e.src = walk.node WHERE walk.hops < 3),
+  path AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node)"""
+
+
+@_query(f"WITH RECURSIVE {_PATHS} SELECT node, round(distance, 6) AS distance FROM path")
+def q26_graph_bounded_paths(spark, sf_dir):
+    seeds = _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("node"))
+    return graph.bounded_paths(edges(spark, sf_dir), seeds).select("node", _r("distance", "distance"))
+
+
+def _hybrid(spark, sf_dir, alpha):
+    v = _table(spark, sf_dir, "embeddings")
+    query = [float(x) for x in v.where("vec_id = 0").first().embedding]  # one vector
+    d = retrieval.distance(F.col("embedding"), F.array(*map(F.lit, query)), "cosine")
+    ranked = v.where("vec_id % 9 <> 5").select(F.col("vec_id").alias("file_path"), d.alias("cos_distance"), F.concat(F.lit("chunk of vector "), F.col("vec_id").cast("string"), F.lit(" in file "), F.col("label").cast("string")).alias("content_snippet"))
+    seeds = ranked.orderBy("cos_distance", "file_path").limit(12)
+    out = fusion.expand_and_rerank(seeds, "vector 12 in file 3", edges(spark, sf_dir), ranked, alpha, 0.6, 3)
+    return out.select("file_path", *(_r(c, c) for c in ("score", "cos_norm", "lev", "path_distance")), "source")
+
+
+@_query(f"""WITH RECURSIVE d AS (SELECT c.vec_id AS file, {_dist("cosine")} AS dist FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id % 9 <> 5), seeds AS (SELECT file FROM d ORDER BY dist, file LIMIT 12),
+  {_PATHS.replace("FROM embeddings WHERE vec_id % 100 = 0", "FROM embeddings WHERE vec_id IN (SELECT file FROM seeds)")}
+  SELECT d.file AS file_path, round(pow(0.6, path.distance) * (1 - dist), 6) AS score, round(1 - dist, 6) AS cos_norm, 0.0::DOUBLE AS lev, round(path.distance, 6) AS path_distance, CASE WHEN path.distance = 0 THEN 'vector' ELSE 'graph' END AS source FROM d JOIN path ON path.node = d.file""")
+def q27_hybrid_alpha1(spark, sf_dir):
+    return _hybrid(spark, sf_dir, 1.0)
+
+
+@_query()
+def q28_hybrid_full(spark, sf_dir):
+    return _hybrid(spark, sf_dir, 0.3)
+
+
+@_query(f"WITH {_FILES}, {_CHUNKS} SELECT regexp_extract(source, '\\.([^.]*)$', 1) AS ext, count(*) AS chunks, count(DISTINCT source) AS sources FROM chunks GROUP BY ext")
+def q29_ext_histogram(spark, sf_dir):
+    return diagnostics.by_extension(chunks(spark, sf_dir))
+
+
+@_query(f"WITH {_near(every=25)}, {_TOP}, t AS (SELECT * FROM top WHERE rank <= 20), s AS (SELECT source, CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 100.0 ELSE 100 * (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS score FROM t WINDOW w AS (PARTITION BY query_id)) SELECT source, round(max(score), 6) AS best, count(*) AS chunks FROM s GROUP BY source")
+def q30_result_files(spark, sf_dir):
+    hits = retrieval.relative_scores(retrieval.nearest(vectors(spark, sf_dir), asks(spark, sf_dir, 25), 20))
+    return diagnostics.result_files(hits).select("source", _r("best", "best"), "chunks")
+
+
+@_query("SELECT CAST(len(embedding) AS BIGINT) AS dim, count(*) AS n FROM embeddings GROUP BY dim")
+def q31_dim_check(spark, sf_dir):
+    return diagnostics.dimensions(_table(spark, sf_dir, "embeddings")).select(F.col("dim").cast("long").alias("dim"), "n")
+
+
+@_query("""WITH e AS (SELECT user_id::VARCHAR AS model, event_id AS seq, event_type AS status, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 100 END AS total, CAST(props->>'k' AS BIGINT) AS completed FROM events)
+  SELECT model, arg_max(status, seq) AS status, arg_max(completed, seq) AS completed, coalesce(arg_max(least(100.0, greatest(0.0, 100.0 * completed / total)), seq) FILTER (total > 0), 0.0) AS percent FROM e GROUP BY model""")
+def q32_progress_fold(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    records = e.select(F.col("user_id").cast("string").alias("model"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.when(F.col("event_id") % 4 != 0, F.lit(100)).cast("long").alias("total"), F.get_json_object("props", "$.k").cast("long").alias("completed"), F.lit(None).cast("string").alias("error"))
+    return progress.fold(records).select("model", "status", "completed", "percent")
+
+
+@_query("""SELECT page_id, CAST(pos AS BIGINT) AS pos, target FROM (SELECT page_id, unnest(l) AS target, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"#?]+)', 1) AS l FROM pages))""")
+def q33_page_reference_edges(spark, sf_dir):
+    links = F.regexp_extract_all("html", F.lit('href="([^"#?]+)'), F.lit(1))
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("pos", "target")).select("page_id", F.col("pos").cast("long").alias("pos"), "target")
+
+
+@_query("""SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
+def q34_substring_theta_join(spark, sf_dir):
+    """Documents that contain a benchmark text: candidates by an equi-join on hashed word windows, then the substring test."""
+    k = 4
+    words = lambda t: F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    b = _table(spark, sf_dir, "benchmark").where("text is not null").withColumn("w", words(F.col("text")))
+    # A window from within a text, away from its cut ends, so its words are whole in the document too.
+    keyed = b.where(F.size("w") >= k + 2).select("item_id", F.col("text").alias("needle"), F.xxhash64(F.slice("w", 2, k)).alias("key"))
+    d = _table(spark, sf_dir, "documents").where("text is not null").withColumn("w", words(F.col("text")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k))))
+    long_ = d.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", "needle")).select("item_id", "doc_id")
+    short = b.where(F.size("w") < k + 2).select("item_id", F.col("text").alias("needle"))
+    few = d.select("doc_id", "text").join(short, F.contains("text", F.col("needle"))).select("item_id", "doc_id")
+    return long_.union(few).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+@_query("""WITH x AS (SELECT doc_id, n_chars, n_chars * n_chars * n_chars AS n FROM documents)
+  SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) WHEN n < 1099511627776 THEN printf('%.1f GB', floor(n / 1073741824.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f TB', floor(n / 1099511627776.0::DOUBLE * 10 + 0.5) / 10) END AS size,
+    CASE WHEN doc_id % 3 = 0 THEN 7 ELSE CAST(doc_id AS INT) END AS parsed, 3 AS n_listed FROM x""")
+def q35_scalar_helpers(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", T.byte_size(F.col("n_chars") * F.col("n_chars") * F.col("n_chars")).alias("size"), T.safe_int(text, 7).alias("parsed"), F.size(T.listed(F.lit("a, b,, c ,"))).alias("n_listed"))

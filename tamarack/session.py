@@ -29,10 +29,33 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, with the package at hand in the workers."""
+    """df.mapInArrow, with the package at hand in the workers.
+
+    Workers are used again by later stages, so each task ends by giving back its memory.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
