@@ -92,7 +92,7 @@ def byte_size(n: Column) -> Column:
 
 def listed(text: Column) -> Column:
     """Trimmed, non-empty parts between commas."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def safe_int(text: Column, default: int) -> Column:

@@ -93,15 +93,15 @@ def scan(spark: SparkSession, root: str, extensions=None, excluded=None, max_fil
     return reader.load()
 
 
-@F.pandas_udf("string")
-def decode(content: pd.Series) -> pd.Series:
+def decoded(content: pd.Series) -> pd.Series:
     """UTF-8 without what can't be decoded; all line ends become line feeds."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
 
 
 def with_text(files: DataFrame) -> DataFrame:
     """files with file_hash (SHA-256 of the bytes) and text."""
-    return files.withColumn("file_hash", F.sha2("content", 256)).withColumn("text", decode("content"))
+    ship(files.sparkSession)
+    return files.withColumn("file_hash", F.sha2("content", 256)).withColumn("text", F.pandas_udf(decoded, "string")("content"))
 
 
 def count_indexable(files: DataFrame) -> DataFrame:
