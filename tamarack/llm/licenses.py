@@ -93,7 +93,8 @@ def scan(docs: DataFrame) -> DataFrame:
     near = docs.where(F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"))
     split = near.select("doc_id", F.xxhash64("text").alias("rid"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
     rows = [(name, len(w), w, _grams(w)) for name, texts in TEMPLATES.items() for w in map(_split, texts)]
-    templates = spark.createDataFrame([(name, n, g) for name, n, _, g in rows], "license string, n int, grams array<string>")
+    constant = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for name, n, _, g in rows))
+    templates = spark.range(1).select(F.explode(constant).alias("t")).select("t.*")
     keyed = templates.select("license", "n", "grams", F.explode(_bands(F.col("grams"))).alias("band"))
     every = [_windows(n, anchors) for n in sorted({r[1] for r in rows})]
     cut = split.select("doc_id", "rid", F.explode(F.concat(*every)).alias("z"))
