@@ -212,5 +212,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op3: the lines of all documents."""
-    return dedup_lines(common.table(spark, sf_dir, "documents"))
+    """op3: the lines of all documents; dropped is comma-joined."""
+    out = dedup_lines(common.table(spark, sf_dir, "documents"))
+    return out.withColumn("dropped", F.array_join("dropped", ","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, htmltext, langid, licenses, linedup, lm, neardup, packing, secrets
+from . import ann, decontaminate, htmltext, langid, licenses, linedup, lm, neardup, oracle, packing, secrets
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -16,5 +16,8 @@ QUERIES = {
     "op9_nearest_neighbours": ann.query,
     "op10_license_scan": licenses.query,
 }
-#: Hashes, trained models and approximate search are not for SQL; tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Trained models, approximate search and the tokeniser are not for SQL; tests/llm compares those with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": oracle.LINE_DEDUP,
+    "op4_near_dedup": oracle.NEAR_DEDUP,
+}
