@@ -28,7 +28,7 @@ END_ID = 1
 #: White space that isn't one space or line feed between two other characters.
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 SPECIAL = "<|endoftext|>"
-CACHED = 400_000
+CACHED = 200_000
 
 
 class Encoder(dict):
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
 
     def cut(batches):
         encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.ids(text or "") + end
