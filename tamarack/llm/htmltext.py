@@ -205,7 +205,7 @@ story fact month lot right study book eye job word business issue side kind head
 game line end member law car city community name president team minute idea kid body information back parent face""".split()
 
 
-def labelled(number: int = 90) -> list[tuple[str, list[bool]]]:
+def labelled(number: int = 110) -> list[tuple[str, list[bool]]]:
     """Pages and, for each of their nodes but the root, whether it is content.
 
     In the source, content elements carry an attribute that only this function reads.
@@ -226,16 +226,17 @@ def labelled(number: int = 90) -> list[tuple[str, list[bool]]]:
         form = pick(["", f"<form><p>{words(2, 5)}</p><input></form>", f'<form class="search"><label>{words(1, 2)}</label></form>', f"<form><fieldset><legend>{words(1, 3)}</legend><div>{sentence(2, 8)}</div></fieldset></form>"])
         said = "".join(f'<{t} class="comment"><p>{sentence(3, 40)}</p></{t}>' for t in [pick(["div", "li"])] * rng.randint(1, 4))
         talk = pick(["", "", f'<section class="comments"><h3>{words(1, 2)}</h3>{said}</section>', f'<div id="comments">{said}</div>', f'<ol class="commentlist">{said}</ol>', f'<section id="discussion"><p>{sentence(3, 30)}</p></section>'])
-        parts = [f"<{pick(['h1', 'h1', 'h2'])} c>{words(1, 9)}"]
-        tags = [parts[0][1:3]]
-        body = f"<{tags[0]} c>{words(1, 9)}</{tags[0]}>"
+        title = pick(["h1", "h1", "h2"])
+        body = f"<{title} c>{words(1, 9)}</{title}>"
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
+            if rng.random() < 0.12:
+                body += pick([ad(), ad(), note(), f'<div class="share">{links(3, "span")}</div>', f'<div class="related"><p>{sentence(2, 12)}</p></div>'])
             body += pick([
                 f"<p c>{' '.join(sentence() for _ in range(rng.randint(1, 9)))}</p>", f"<p c>{sentence(1, 2)}</p>", f"<p c><b>{sentence()}<br>{sentence()}", f"<p c>{sentence()}</p>", f"<p c>{words(1, 1)}</p>",
                 f'<p c>{sentence()} <a href="/x">{words(1, 3)}</a> {sentence()}</p>', f"<h2 c>{words(1, 6)}</h2>", f"<ul c><li c>{sentence(1, 9)}</li><li c>{sentence(2, 14)}</li></ul>", f"<blockquote c><p c>{sentence(3, 20)}</p></blockquote>",
                 f"<pre c>{words(2, 20)}</pre>", f"<table c><tr c><td c>{words(1, 2)}</td><td c>{words(1, 3)}</td></tr></table>", f"<p c>{sentence()} {sentence()}</p>", f"<figure c><figcaption c>{sentence(2, 8)}</figcaption></figure>",
             ])
-        inside = pick(["", "", "", ad(), talk, f'<div class="share">{links(3, "span")}</div>', note()])
+        inside = pick(["", "", ad(), ad(), talk, talk, f'<div class="share">{links(3, "span")}</div>', note()])
         holder = pick(["article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="story"'])
         main = f"<{holder} c>{body}{inside}</{holder.split()[0]}>"
         if rng.random() < 0.3:
