@@ -37,7 +37,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _r(column, name: str, digits: int = 6):
-    return F.round(column, digits).alias(name)
+    return (F.round(column, digits) + F.lit(0.0)).alias(name)  # no negative zero
 
 
 def files(spark, sf_dir) -> DataFrame:
@@ -158,8 +158,8 @@ def q10_knn_batch(spark, sf_dir):
     return _hits(retrieval.nearest(vectors(spark, sf_dir), asks(spark, sf_dir, 20), 10))
 
 
-@_query(f"""WITH {_near("cosine")}, {_TOP}, a AS (SELECT 'cosine' AS metric, query_id, rank, id, round(distance, 6) AS distance FROM top WHERE rank <= 10),
-  b AS (SELECT 'ip' AS metric, query_id, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {_dist("ip")} AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10)
+@_query(f"""WITH {_near("cosine")}, {_TOP}, a AS (SELECT 'cosine' AS metric, query_id, rank, id, round(distance, 6) + 0.0::DOUBLE AS distance FROM top WHERE rank <= 10),
+  b AS (SELECT 'ip' AS metric, query_id, rank, id, round(distance, 6) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {_dist("ip")} AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10)
   SELECT * FROM a UNION ALL SELECT * FROM b""")
 def q11_knn_cosine_ip(spark, sf_dir):
     one = lambda m: retrieval.nearest(vectors(spark, sf_dir), asks(spark, sf_dir), 10, m).select(F.lit(m).alias("metric"), "query_id", F.col("rank").cast("long").alias("rank"), "id", _r("distance", "distance"))
