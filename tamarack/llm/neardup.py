@@ -168,6 +168,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return now.select("id", "label")
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, label: the components labels (id, label) with those united that further links (a, b) connect.
+
+    Components are linked by their labels, so all their members follow, whichever of them has the link.
+    """
+    of = lambda end, to: labels.select(F.col("id").alias(end), F.col("label").alias(to))
+    between = links.join(of("a", "la"), "a").join(of("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    between = common.written(between, "links")
+    ends = between.select("a").union(between.select("b")).distinct()
+    roots = components(ends.select(F.col("a").alias("id"), F.col("a").alias("label")), between)
+    roots = common.beside(common.written(roots.select(F.col("id").alias("label"), F.col("label").alias("root")), "labels"))
+    return common.written(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -215,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     apart = odd.join(rest, (odd.band == rest.band) & (F.col("lx") != F.col("ly")) & (F.col("inner") | (F.col("x.id") < F.col("y.id"))) & _possible("x", "y", percent))
     pairs = common.written(_pairs(apart, "x", "y", percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        labels = components(labels, common.written(confirmed(pairs, full, percent), "links"))
+        labels = joined(labels, common.written(confirmed(pairs, full, percent), "links"))
     of = folded.join(labels, "id", "left").select(*key, F.coalesce("label", "id").alias("component"))
     empty = F.col("n_shingles") == 0
     out = all_.select("doc_id", *key).join(of, key, "left")

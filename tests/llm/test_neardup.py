@@ -54,3 +54,25 @@ def test_one_of_each_keeps_columns(documents):
     assert out.columns == docs.columns
     kept = {i for i, (_, c) in brute.components(family(), 5).items() if i == c}
     assert {r.doc_id for r in out.collect()} == kept
+
+
+def test_components_joined_through_members_that_are_not_the_smallest(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8), (10, 10)], "id long, label long")
+    links = spark.createDataFrame([(2, 6), (7, 9)], "a long, b long")
+    assert as_tuples(neardup.joined(labels, links), "id", "label") == sorted([(i, 1) for i in (1, 2, 5, 6, 7, 8, 9)] + [(10, 10)], key=repr)
+
+
+def test_crowds_of_chains_with_ids_in_any_order(documents):
+    """Texts that are linked where they differ in one of eight words: most links are between two that aren't a centre."""
+    rng = random.Random(2)
+    texts = []
+    for crowd in range(6):
+        for bits in rng.sample(range(256), 70):
+            text = [f"c{crowd}w{i}" for i in range(59)]
+            for i in range(8):
+                if bits >> i & 1:
+                    text[5 + 6 * i] = f"c{crowd}s{i}"
+            texts.append(" ".join(text))
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
+    out = neardup.near_duplicates(documents(rows), 4)
+    assert as_tuples(out, "doc_id", "n_shingles", "component_id") == sorted(((i, n, c) for i, (n, c) in brute.components(rows, 4).items()), key=repr)
