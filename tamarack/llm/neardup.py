@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, values: the sorted distinct shingle hashes of each document."""
+    """id, set_a, values: the sorted distinct shingle hashes of each document, and their sum as in sketches()."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def make(batches):
@@ -97,9 +97,13 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
                 words = textkit.Words(texts[a:b])
                 values, first = textkit.distinct(*textkit.shingles(words.hash, words.first, k))
                 lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(values.view(np.int64)))
-                yield pa.record_batch([batch.column(0)[a:b], lists], ["id", "values"])
+                full = np.flatnonzero(np.diff(first))
+                sums = np.zeros(b - a, np.int64)
+                if len(full):
+                    sums[full] = np.add.reduceat(textkit.mix(values), first[full]).view(np.int64)
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(sums), lists], ["id", "set_a", "values"])
 
-    return map_in_arrow(docs.select("id", "text"), make, f"id {kind}, values array<long>")
+    return map_in_arrow(docs.select("id", "text"), make, f"id {kind}, set_a long, values array<long>")
 
 
 def estimate(a: str, b: str):
@@ -119,12 +123,12 @@ def estimate(a: str, b: str):
 def _hopeful(full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """id, n, own, bits: set size, shingles that no other candidate has, and packed bits.
 
-    The intersection with any other set lacks own; ids for which that rules out every link
-    are left out.
+    The intersection with any other set lacks own; sets for which that rules out every link
+    are left out. own is counted by set, not by id: an id may have several texts.
     """
-    alone = full.select("id", F.explode("values").alias("v")).groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    own = alone.groupBy("id").agg(F.count("*").alias("own"))
-    facts = classes.select("id", F.col("n_shingles").alias("n"), "bits").join(full.select("id").distinct(), "id").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"), "bits")
+    alone = full.select("set_a", F.explode("values").alias("v")).groupBy("v").agg(F.min("set_a").alias("set_a"), F.max("set_a").alias("other")).where("set_a = other")
+    own = alone.groupBy("set_a").agg(F.count("*").alias("own"))
+    facts = classes.select("id", "set_a", F.col("n_shingles").alias("n"), "bits").join(full.select("id").distinct(), "id").join(own, "set_a", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"), "bits")
     return common.written(facts.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "facts")
 
 

@@ -76,3 +76,12 @@ def test_crowds_of_chains_with_ids_in_any_order(documents):
     rows = list(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
     out = neardup.near_duplicates(documents(rows), 4)
     assert as_tuples(out, "doc_id", "n_shingles", "component_id") == sorted(((i, n, c) for i, (n, c) in brute.components(rows, 4).items()), key=repr)
+
+
+def test_other_texts_of_an_id_do_not_count_against_a_link(documents):
+    short = [f"s{i}" for i in range(40)]
+    rows = [(1, " ".join(f"long{i}" for i in range(300))), (1, " ".join(short)), (2, " ".join([*short[:-1], "other"]))]
+    # Long texts meet as well, so the long one is a candidate.
+    rows.append((3, " ".join([*(f"long{i}" for i in range(100)), *(f"else{i}" for i in range(50))])))
+    out = as_tuples(neardup.near_duplicates(documents(rows), 4), "doc_id", "component_id", "kept")
+    assert out == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
