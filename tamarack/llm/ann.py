@@ -10,6 +10,11 @@ is ranked by the exact inner product.
 A cell's vectors and queries meet in blocks of bounded size, so a crowded cell is spread
 over many tasks. Equal vectors are folded into one before they are hashed. A query that
 finds too few neighbours is compared with all vectors, also in blocks.
+
+How many cells a query looks into follows from the table: ``SAMPLE`` queries are compared
+with all vectors, and the number of cells a table grows from ``PROBES`` until the share of
+their true neighbours that lie in those cells is ``RECALL``. Where ``MOST_PROBES`` don't
+reach it, every query is compared with all vectors.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ TABLES = 12
 PROBES = 24
 PER_CELL = 128
 BLOCK, QUERY_BLOCK = 1024, 512
+#: Queries compared with all vectors; the recall asked of them is 0.9 and two standard errors.
+SAMPLE, RECALL = 200, 0.92
+MOST_PROBES = 192
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -110,8 +118,9 @@ def _hashed(classes: DataFrame, longest: float, bits: int, tables: int, probes:
 
     def make(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            step = min(1000, max(16, 1000 * PROBES**2 // probes**2))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 x = lifted(_matrix(part.column(1)), longest, query)
                 every = np.concatenate([cells(x, t, bits, probes) * tables + t for t in range(tables)], 1)
                 row = pa.array(np.repeat(np.arange(len(x)), every.shape[1]))
@@ -152,12 +161,59 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k).drop("n")
 
 
+def probes_needed(asked: DataFrame, folded: DataFrame, longest: float, bits: int, tables: int, probes: int, k: int) -> int | None:
+    """The least number of probes, from the given one, that finds RECALL of a sample's k nearest; None if MOST_PROBES don't.
+
+    The sample goes to the vectors, which aren't shuffled. A neighbour counts from the
+    first place at which a query looks into a cell that holds it.
+    """
+    ship(asked.sparkSession)
+    some = asked.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    if not len(some):
+        return probes
+    ids, matrix = some["id"].combine_chunks(), _matrix(some["vector"].combine_chunks())
+    most = max(probes, min(MOST_PROBES, 1 << bits))
+    rows = np.array_split(lifted(matrix, longest, True), -(-len(matrix) // 16))
+    looks = [np.concatenate([cells(x, t, bits, most) for x in rows]) for t in range(tables)]
+
+    def near(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            if not len(x):
+                continue
+            scores = matrix @ x.T
+            take = min(k + 1, len(x))
+            best = np.argpartition(-scores, take - 1, 1)[:, :take]
+            used, of = np.unique(best, return_inverse=True)
+            of = of.reshape(best.shape)
+            place = np.full(best.shape, most)
+            up = lifted(x[used], longest, False)
+            for t in range(tables):
+                cell = cells(up, t, bits, 1)[:, 0][of]
+                for q in range(len(place)):
+                    same = looks[t][q][:, None] == cell[q]
+                    place[q] = np.minimum(place[q], np.where(same.any(0), same.argmax(0), most))
+            row, column = np.repeat(np.arange(len(best)), take), pa.array(best.ravel())
+            yield pa.record_batch([ids.take(pa.array(row)), batch.column(0).take(column), pa.array(scores[row, best.ravel()]), pa.array(place.ravel())], ["q", "id", "score", "place"])
+
+    kind = folded.schema["id"].dataType.simpleString()
+    found = map_in_arrow(folded.select("id", "vector"), near, f"q {kind}, id {kind}, score double, place long").where("id <> q")
+    found = found.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k)
+    places = found.groupBy("place").count().collect()  # at most MOST_PROBES + 1 rows
+    total = sum(r["count"] for r in places)
+    for p in range(probes, most + 1):
+        if sum(r["count"] for r in places if r.place < p) >= RECALL * total:
+            return p
+    return None
+
+
 def search(vectors: DataFrame, query=None, k: int = 20, tables: int = TABLES, probes: int = PROBES, per_cell: int = PER_CELL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, itself not counted.
 
     query: a condition on vectors that picks the queries; by default ids divisible by 20.
     Vectors that are null, zero, hold a null or non-finite component, or have another
-    dimension than most take no part; nor do rows without an id. Rows that share an id and
+    dimension than most take no part; nor do rows without an id. probes is the least number
+    of cells looked into; probes_needed() raises it. Rows that share an id and
     a vector count once. Ties go to the smaller id. Other columns are left alone.
     """
     kind = vectors.schema[id_column].dataType.simpleString()
@@ -176,7 +232,9 @@ def search(vectors: DataFrame, query=None, k: int = 20, tables: int = TABLES, pr
     bits = max(0, math.ceil(math.log2(facts.n / per_cell)))
     asked = folded.where("asks")
     hashed = lambda df, bits, tables, probes, query: _hashed(df, facts.longest, bits, tables, probes, query)
-    tables, probes = (tables, probes) if bits else (1, 1)
+    probes = probes_needed(asked, folded, facts.longest, bits, tables, probes, k) if bits else None
+    if probes is None:
+        bits, tables, probes = 0, 1, 1
     found = common.written(_top(_blocks(hashed(asked, bits, tables, probes, True), hashed(folded, bits, tables, 1, False), k + 1), k + 1), "found")
     short = asked.join(found.groupBy("q").count().where(F.col("count") >= min(k + 1, facts.n)).select(F.col("q").alias("id")), "id", "left_anti")
     short = common.written(short, "short")

@@ -66,3 +66,18 @@ def test_short_answers_are_searched_in_full(spark):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(9, 32))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_probes_grow_until_recall_is_reached(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def recall():
+        by = {}
+        for r in ann.search(table(spark, x), tables=4, probes=2, per_cell=10).collect():
+            by.setdefault(r.query_id, set()).add(r.vec_id)
+        return sum(len(by[q] & {i for _, i in exact(x, q)}) for q in range(0, 1500, 20)) / (75 * 20)
+
+    assert recall() >= 0.9
+    monkeypatch.setattr(ann, "MOST_PROBES", 3)  # too few: everything is compared
+    assert recall() == 1
