@@ -1,19 +1,27 @@
 """Language-model scores of whole texts.
 
-The model is log-bilinear: the two words before a word each have an embedding, scaled for
-their place and summed; its product with the word's output embedding, plus a bias, is the
-word's logit. It is trained in numpy by noise-contrastive estimation with the classes'
-shares as noise. Words outside the ``HEAD`` most frequent form one class, within which a
-word has its smoothed share, so the model is a proper distribution over all texts.
-
-Everything learned comes from counts over all training texts: of words, and of triples of
-classes. Training runs on partitions of the triples, whose parameters are averaged after
-each round. The softmax's normalisers, one for each pair of context classes, are computed
-once in batched matrix products; scoring a token is then three look-ups.
+The model is log-bilinear: the three words before a word each have an embedding, scaled for
+their place and summed to the context's vector. Every word belongs to one of ``CLASSES``
+classes: the ``HEAD`` most frequent words have one each, all others share the rest by their
+hash. Classes are dealt, most frequent first, over ``GROUPS`` groups of about equal mass.
+The context's product with a group's output embedding, plus a bias, is the group's logit,
+and with a class's embedding the class's logit within its group; within a shared class
+words have their smoothed shares. So each token's probability is normalised exactly, at the
+cost of one group's classes and not of all, and the model is a proper distribution over all
+texts.
+
+It is trained in numpy by noise-contrastive estimation, over every token of all training
+texts: noise groups are drawn by their shares, noise classes by theirs within the true
+group. Each task goes through its texts and gives the rows it changed; rows are averaged
+over tasks by how often each changed them, in the plan, and go out again for the next
+round. Training thus grows with the corpus, and nothing but the classes' parameters (a
+fixed size) reaches the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,34 +32,33 @@ from ..session import map_in_arrow
 from . import common, textkit
 
 U = textkit.U
-HEAD = 510
-TAIL, END = HEAD, HEAD + 1
-CLASSES = HEAD + 2
+HEAD, SHARED = 12_287, 4096
+END = HEAD + SHARED
+CLASSES = END + 1
+GROUPS = 128
 #: Most frequent words whose counts go to every task; the counts of others are joined.
 NEAR = 1 << 17
 SMOOTH = 0.1
-DIMENSIONS, NOISE, BATCH, STEPS, ROUNDS, PARTS = 32, 64, 2048, 200, 2, 8
+BEFORE, DIMENSIONS, BATCH, ROUNDS = 3, 32, 4096, 1
+#: Noise groups of a batch, and noise classes of each token.
+NOISE, NOISE_EACH = 24, 2
+RATE = 0.2
 END_HASH = 1
 
 
-def _accumulate(batches, make, names):
-    """Rows (key, count) of each batch, summed within it."""
-    for batch in batches:
-        found = [make(batch, a, b) for a, b in textkit.chunks(textkit.as_bytes(batch.column(0)))]
-        keys, counts = np.concatenate([x for x, _ in found] or [[]]), np.concatenate([n for _, n in found] or [[]])
-        keys, where = np.unique(keys.astype(np.int64), return_inverse=True)
-        counts = np.bincount(where, counts, len(keys)).astype(np.int64)
-        yield pa.record_batch([pa.array(keys), pa.array(counts)], names)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (hash), c: of every word and the end in texts (text)."""
 
-    def one(batch, a, b):
-        words = textkit.Words(textkit.as_bytes(batch.column(0)[a:b]))
-        return np.unique(np.append(words.hash.view(np.int64), np.full(b - a, END_HASH)), return_counts=True)
+    def make(batches):
+        for batch in batches:
+            found = []
+            for a, b in textkit.chunks(textkit.as_bytes(batch.column(0))):
+                words = textkit.Words(textkit.as_bytes(batch.column(0)[a:b]))
+                found.append(np.unique(np.append(words.hash.view(np.int64), np.full(b - a, END_HASH)), return_counts=True))
+            keys, counts = np.concatenate([x for x, _ in found] or [[]]), np.concatenate([n for _, n in found] or [[]])
+            keys, where = np.unique(keys.astype(np.int64), return_inverse=True)
+            yield pa.record_batch([pa.array(keys), pa.array(np.bincount(where, counts, len(keys)).astype(np.int64))], ["word", "c"])
 
-    make = lambda batches: _accumulate(batches, one, ["word", "c"])
     return map_in_arrow(texts.select("text"), make, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -69,111 +76,208 @@ class Lookup:
         return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
 
-def _classes(rank: np.ndarray) -> np.ndarray:
-    return np.where((rank >= 0) & (rank < HEAD), rank, TAIL)
+def classes(rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The class of each word, by its rank and hash."""
+    return np.where((rank >= 0) & (rank < HEAD), rank, HEAD + (hashes.view(U) % U(SHARED)).astype(np.int64))
 
 
-def _sequence(words: textkit.Words, classes: np.ndarray):
-    """(text, class, one before, two before) of all tokens, each text's end included."""
+def _sequence(words: textkit.Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, class, classes before: a row for each place) of all tokens, each text's end included."""
     n = np.diff(words.first)
     text = np.repeat(np.arange(len(n)), n + 1)
     last = np.cumsum(n + 1) - 1
     token = np.full(len(text), END)
     inner = np.ones(len(text), bool)
     inner[last] = False
-    token[inner] = classes
+    token[inner] = of
     place = np.arange(len(text)) - np.repeat(last - n, n + 1)
-    before = lambda k: np.where(place >= k, np.roll(token, k), END)
-    return text, token, before(1), before(2)
+    return text, token, np.stack([np.where(place >= k, np.roll(token, k), END) for k in range(1, BEFORE + 1)])
 
 
-def triples(texts: DataFrame, head: np.ndarray) -> DataFrame:
-    """code, c: how often each class follows each pair of classes in texts (text)."""
+@dataclass(frozen=True)
+class Layout:
+    """Where classes stand: order, most frequent first; first: each group's first place there.
 
-    def make(batches):
-        find = Lookup(head)
+    place and group: of each class. Their shares are the noise.
+    """
 
-        def one(batch, a, b):
-            words = textkit.Words(textkit.as_bytes(batch.column(0)[a:b]))
-            _, token, one_, two = _sequence(words, _classes(find(words.hash.view(np.int64))))
-            return np.unique((two * CLASSES + one_) * CLASSES + token, return_counts=True)
+    shares: np.ndarray
 
-        yield from _accumulate(batches, one, ["code", "c"])
+    def __post_init__(self):
+        put = lambda name, value: object.__setattr__(self, name, value)
+        order = np.argsort(-self.shares, kind="stable")
+        mass = np.cumsum(self.shares[order])
+        group = np.minimum((GROUPS * (mass - self.shares[order] / 2) / mass[-1]).astype(np.int64), GROUPS - 1)
+        used, group = np.unique(group, return_inverse=True)
+        place = np.empty(CLASSES, np.int64)
+        place[order] = np.arange(CLASSES)
+        put("place", place)
+        put("first", np.append(np.searchsorted(group, np.arange(len(used))), CLASSES))
+        put("of", group)  # of each place
+        put("heap", np.append(0.0, mass))
+        put("mass", np.diff(self.heap[self.first]))
+        put("noise", np.cumsum(self.mass) / self.mass.sum())
 
-    return map_in_arrow(texts.select("text"), make, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    @property
+    def groups(self) -> int:
+        return len(self.mass)
 
 
-def initial(shares: np.ndarray) -> list[np.ndarray]:
-    """Context embeddings, their two scales, output embeddings, biases."""
-    rng = np.random.default_rng(3)
-    small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return [small(CLASSES, DIMENSIONS), np.ones((2, DIMENSIONS), np.float32), small(CLASSES, DIMENSIONS), np.log(shares).astype(np.float32)]
+#: Parts of the parameters: context embeddings, class and group outputs (with bias in the last column), and places' scales.
+EMBED, CLASS, GROUP, SCALE = range(4)
 
 
-def nce(parameters: list[np.ndarray], codes: np.ndarray, counts: np.ndarray, shares: np.ndarray, seed: int, steps: int = STEPS) -> list[np.ndarray]:
-    """Parameters after some steps of noise-contrastive estimation by AdaGrad.
-
-    Each step draws a batch of triples by their counts and one set of noise classes for it.
+def initial(layout: Layout) -> list[np.ndarray]:
+    """Parameters under which each class has its share, whatever the context. Rows of EMBED and CLASS are places."""
+    rng = np.random.default_rng(3)
+    with_bias = lambda p: np.concatenate([np.zeros((len(p), DIMENSIONS)), np.log(p)[:, None]], 1).astype(np.float32)
+    within = np.diff(layout.heap) / layout.mass[layout.of]
+    scale = np.repeat(np.array([[1.0], [0.6], [0.4]])[:BEFORE], DIMENSIONS, 1)
+    return [rng.normal(0, 0.3, (CLASSES, DIMENSIONS)).astype(np.float32), with_bias(within), with_bias(layout.mass), scale.astype(np.float32)]
+
+
+class Trainer:
+    """Noise-contrastive estimation by AdaGrad, batch by batch, on a copy of some parameters."""
+
+    def __init__(self, parameters: list[np.ndarray], layout: Layout, seed: int):
+        self.now, self.layout = [p.copy() for p in parameters], layout
+        self.sums = [np.full(len(p), 1e-4, np.float32) for p in parameters]
+        self.times = [np.zeros(len(p), np.float32) for p in parameters]
+        self.rng = np.random.default_rng(seed)
+
+    def _move(self, which: int, rows: np.ndarray, grads: np.ndarray) -> None:
+        """Subtract gradients; those of the same row are summed first."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        total, rows = np.add.reduceat(grads[order], at, axis=0), rows[at]
+        self.sums[which][rows] += (total * total).mean(1)
+        self.now[which][rows] -= RATE * total / np.sqrt(self.sums[which][rows])[:, None]
+        self.times[which][rows] += np.diff(np.append(at, len(order)))
+
+    def step(self, place: np.ndarray, before: np.ndarray) -> None:
+        """One batch: each token's place, and the places before it."""
+        L, m = self.layout, len(place)
+        embed, out, top, scale = self.now
+        parts = embed[before]
+        context = (parts * scale[:, None]).sum(0)
+        ones = np.append(context, np.ones((m, 1), np.float32), 1)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        # Groups: noise shared by the batch.
+        group = L.of[place]
+        noise = np.minimum(np.searchsorted(L.noise, self.rng.random(NOISE)), L.groups - 1)
+        against = np.log(NOISE * L.mass / L.mass.sum()).astype(np.float32)
+        own = (ones * top[group]).sum(1) - against[group]
+        others = ones @ top[noise].T - against[noise]
+        g_own, g_others = sigmoid(own) - 1, sigmoid(others)
+        grown = g_own[:, None] * top[group, :-1] + g_others @ top[noise, :-1]
+        top_rows = np.append(group, noise)
+        top_grads = np.append(g_own[:, None] * ones, g_others.T @ ones, 0)
+        # Classes: each token's noise comes from its own group.
+        low, high = L.heap[L.first[group]], L.heap[L.first[group + 1]]
+        drawn = low[:, None] + (high - low)[:, None] * self.rng.random((m, NOISE_EACH))
+        other = np.searchsorted(L.heap, drawn, side="right") - 1
+        other = np.clip(other, L.first[group][:, None], L.first[group + 1][:, None] - 1)
+        every = np.append(place[:, None], other, 1)
+        share = np.diff(L.heap)[every] / L.mass[group][:, None]
+        rows = out[every]
+        logit = np.matmul(rows, ones[:, :, None])[:, :, 0] - np.log(NOISE_EACH * share)
+        g = sigmoid(logit).astype(np.float32)
+        g[:, 0] -= 1
+        grown += np.matmul(g[:, None], rows[:, :, :-1])[:, 0]
+        self._move(CLASS, every.ravel(), (g[:, :, None] * ones[:, None]).reshape(-1, DIMENSIONS + 1) / 64)
+        self._move(GROUP, top_rows, top_grads / 64)
+        self._move(EMBED, before.ravel(), (grown * scale[:, None]).reshape(-1, DIMENSIONS) / 64)
+        self._move(SCALE, np.arange(BEFORE), (parts * grown).sum(1) / m)
+
+    def changed(self) -> pa.RecordBatch:
+        """which, row, times, v0, v1, ...: the rows that a batch changed."""
+        which, row, times, values = [], [], [], []
+        for i, (p, t) in enumerate(zip(self.now, self.times, strict=True)):
+            at = np.flatnonzero(t)
+            which.append(np.full(len(at), i, np.int32))
+            row.append(at.astype(np.int32))
+            times.append(t[at])
+            values.append(np.pad(p[at], ((0, 0), (0, DIMENSIONS + 1 - p.shape[1]))))
+        values = np.concatenate(values)
+        return pa.record_batch([pa.array(np.concatenate(which)), pa.array(np.concatenate(row)), pa.array(np.concatenate(times)), *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(DIMENSIONS + 1))], ["which", "row", "times", *_V])
+
+
+_V = [f"v{j}" for j in range(DIMENSIONS + 1)]
+
+
+def train(texts: DataFrame, head: np.ndarray, layout: Layout, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Parameters trained on every token of texts (text).
+
+    A round is one pass over all texts, side by side; rows are averaged after it.
     """
-    embed, scale, out, bias = (p.copy() for p in parameters)
-    rng = np.random.default_rng(seed)
-    sums = [np.full_like(p, 1e-4) for p in (embed, scale, out, bias)]
-    heap, noise_heap = np.cumsum(counts), np.cumsum(shares)
-    for _ in range(steps):
-        code = codes[np.searchsorted(heap, rng.integers(0, heap[-1], BATCH), side="right")]
-        token, one, two = code % CLASSES, code // CLASSES % CLASSES, code // CLASSES**2
-        noise = np.minimum(np.searchsorted(noise_heap, rng.random(NOISE)), CLASSES - 1)
-        context = scale[0] * embed[one] + scale[1] * embed[two]
-        against = np.log(NOISE * shares).astype(np.float32)
-        own = (context * out[token]).sum(1) + bias[token] - against[token]
-        others = context @ out[noise].T + bias[noise] - against[noise]
-        g_own = (1 / (1 + np.exp(-own)) - 1) / BATCH
-        g_others = 1 / (1 + np.exp(-others)) / BATCH
-        g_context = g_own[:, None] * out[token] + g_others @ out[noise]
-        hot = lambda rows: np.eye(CLASSES, dtype=np.float32)[rows].T
-        token_hot, noise_hot = hot(token), hot(noise)
-        grads = (
-            hot(one) @ (g_context * scale[0]) + hot(two) @ (g_context * scale[1]),
-            np.stack([(g_context * embed[one]).sum(0), (g_context * embed[two]).sum(0)]),
-            token_hot @ (g_own[:, None] * context) + noise_hot @ (g_others.T @ context),
-            token_hot @ g_own + noise_hot @ g_others.sum(0),
-        )
-        for p, g, s in zip((embed, scale, out, bias), grads, sums, strict=True):
-            s += g * g
-            p -= (0.1 * g / np.sqrt(s)).astype(np.float32)
-    return [embed, scale, out, bias]
-
-
-def train(events: DataFrame, shares: np.ndarray) -> list[np.ndarray]:
-    """Parameters trained on events (code, c): PARTS models side by side, averaged after each round."""
-    parameters = initial(shares)
-    parted = common.written(events.repartition(PARTS, F.xxhash64("code", F.lit(5))).sortWithinPartitions("code"), "events")
-    for turn in range(ROUNDS):
+    parameters = initial(layout)
+    for turn in range(rounds):
         given = parameters
 
         def fit(batches, given=given, turn=turn):
-            tables = [pa.Table.from_batches([b]) for b in batches]
-            if not tables:
-                return
-            all_ = pa.concat_tables(tables)
-            found = nce(given, all_["code"].to_numpy(), all_["c"].to_numpy(), shares, 100 * turn + len(all_) % 97)
-            yield pa.record_batch([pa.array([p.astype(np.float32).tobytes() for p in found]), pa.array(range(4), pa.int32())], ["value", "which"])
-
-        rows = map_in_arrow(parted, fit, "value binary, which int").collect()  # a fixed number of bytes a task
-        if rows:
-            parameters = [np.mean([np.frombuffer(r.value, np.float32).reshape(p.shape) for r in rows if r.which == i], 0) for i, p in enumerate(parameters)]
+            find, trainer, rest = Lookup(head), Trainer(given, layout, 1000 * turn + TaskContext.get().partitionId()), None
+            for batch in batches:
+                texts_ = textkit.as_bytes(batch.column(0))
+                for a, b in textkit.chunks(texts_):
+                    words = textkit.Words(texts_[a:b])
+                    hashes = words.hash.view(np.int64)
+                    _, token, before = _sequence(words, classes(find(hashes), hashes))
+                    # The order of a chunk's tokens is mixed, so that a batch isn't one text.
+                    order = trainer.rng.permutation(len(token))
+                    place, before = layout.place[token][order], layout.place[before][:, order]
+                    if rest is not None:
+                        place, before = np.append(rest[0], place), np.append(rest[1], before, 1)
+                    whole = len(place) // BATCH * BATCH
+                    for i in range(0, whole, BATCH):
+                        trainer.step(place[i : i + BATCH], before[:, i : i + BATCH])
+                    rest = place[whole:], before[:, whole:]
+            if rest is not None:
+                if len(rest[0]):
+                    trainer.step(*rest)
+                yield trainer.changed()
+
+        types = ", ".join(["which int", "row int", "times float", *(f"{v} float" for v in _V)])
+        mean = [(F.sum(F.col(v) * F.col("times").cast("double")) / F.sum(F.col("times").cast("double"))).cast("float").alias(v) for v in _V]
+        got = map_in_arrow(texts.select("text"), fit, types).groupBy("which", "row").agg(*mean).toArrow()  # one row a parameter row
+        parameters = [p.copy() for p in parameters]
+        which, row = got["which"].to_numpy(), got["row"].to_numpy()
+        values = np.stack([got[v].to_numpy() for v in _V], 1)
+        for i, p in enumerate(parameters):
+            p[row[which == i]] = values[which == i][:, : p.shape[1]]
     return parameters
 
 
-def log_tables(parameters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits' parts from one and from two words before (with bias), and the normalisers of all context pairs."""
-    embed, scale, out, bias = (p.astype(np.float64) for p in parameters)
-    one, two = (scale[0] * embed) @ out.T + bias, (scale[1] * embed) @ out.T
-    norm = np.empty((CLASSES, CLASSES))
-    e_one, e_two = np.exp(one - one.max(1, keepdims=True)), np.exp(two - two.max(1, keepdims=True))
-    # sum over w of exp(one[i, w] + two[j, w]) as a matrix product
-    norm = np.log(e_two @ e_one.T) + two.max(1)[:, None] + one.max(1)[None]
-    return one, two, norm
+class Scorer:
+    """Normalised log-probabilities of classes in their contexts."""
+
+    def __init__(self, parameters: list[np.ndarray], layout: Layout):
+        self.layout = layout
+        self.embed, self.out, self.top, self.scale = parameters
+
+    @staticmethod
+    def _log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        most = logits.max(1)
+        return logits[np.arange(len(logits)), chosen] - most - np.log(np.exp(logits - most[:, None]).sum(1, dtype=np.float64))
+
+    def __call__(self, token: np.ndarray, before: np.ndarray, size: int = 32_768) -> np.ndarray:
+        """Natural logarithms; token and before are classes."""
+        L, out = self.layout, np.zeros(len(token))
+        for a in range(0, len(token), size):
+            place = L.place[token[a : a + size]]
+            context = sum(self.scale[k] * self.embed[L.place[before[k, a : a + size]]] for k in range(BEFORE))
+            group = L.of[place]
+            order = np.argsort(group, kind="stable")
+            group, place, context = group[order], place[order], context[order]
+            got = self._log_shares(context @ self.top[:, :-1].T + self.top[:, -1], group)
+            at = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                lo, hi = L.first[group[i]], L.first[group[i] + 1]
+                for x in range(i, j, step := max(1, (1 << 21) // (hi - lo))):
+                    y = min(j, x + step)
+                    got[x:y] += self._log_shares(context[x:y] @ self.out[lo:hi, :-1].T + self.out[lo:hi, -1], place[x:y] - lo)
+            out[a + order] = got
+        return out
 
 
 def score(docs: DataFrame, training=None) -> DataFrame:
@@ -182,32 +286,39 @@ def score(docs: DataFrame, training=None) -> DataFrame:
     training: a condition on docs that picks the texts to learn from; by default those whose
     crc32(doc_id as text) mod 10 is not 0; held_out is its contrary. A null text is empty and
     has the end as its only token; rows with a null doc_id are learned from. Without any
-    training text every base share is 1 and the model knows the end and one class only.
+    training text every base share is 1 and the model knows smoothed shares only. Very long
+    texts are whole in one task, their tokens' probabilities in parts of fixed size.
     Repeated rows are scored alike; other columns are left alone.
     """
     held = F.lit(False) | (F.pmod(common.fold(), F.lit(10)) == 0) if training is None else ~training
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
     learned = rows.where("not held_out")
     counts = common.written(word_counts(learned), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END_HASH, F.col("c"))), F.lit(0)).alias("end")).first()
     near = counts.where(F.col("word") != END_HASH).orderBy(F.desc("c"), "word").limit(NEAR).toArrow()  # NEAR rows at most
     words, c = near["word"].to_numpy().astype(np.int64), near["c"].to_numpy().astype(np.int64)
-    end = total.n - (counts.where(F.col("word") != END_HASH).agg(F.sum("c")).first()[0] or 0)
     head = words[:HEAD]
-    tail_n, tail_v = total.n - end - int(c[:HEAD].sum()), max(0, total.v - 1 - len(head))
-    base_all, tail_all = total.n + SMOOTH * (total.v + 1), tail_n + SMOOTH * (tail_v + 1)
-    shares = np.full(CLASSES, 1.0)
+    base_all = total.n + SMOOTH * (total.v + 1)
+    # Of each shared class: tokens, words. Those of the most frequent words are taken off again.
+    slot = F.pmod(F.col("word"), F.lit(SHARED))
+    sums = counts.where(F.col("word") != END_HASH).groupBy(slot.alias("slot")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # SHARED rows at most
+    n_, v_ = np.zeros(SHARED), np.zeros(SHARED)
+    n_[sums["slot"].to_numpy()], v_[sums["slot"].to_numpy()] = sums["n"].to_numpy(), sums["v"].to_numpy()
+    mine = (head.view(U) % U(SHARED)).astype(np.int64)
+    n_ -= np.bincount(mine, c[:HEAD], SHARED)
+    v_ -= np.bincount(mine, minlength=SHARED)
+    shares = np.full(CLASSES, SMOOTH)
     shares[: len(head)] += c[:HEAD]
-    shares[TAIL] += tail_n
-    shares[END] += end
-    shares /= shares.sum()
-    one_, two_, norm = log_tables(train(triples(learned, head), shares))
-    base_near = np.log10((c + SMOOTH) / base_all)
-    tail_near = np.log10((c + SMOOTH) / tail_all)
-    base_end, ten, known_end = float(np.log10((end + SMOOTH) / base_all)), np.log(10), int(end > 0)
+    shares[HEAD:END] += n_
+    shares[END] += total.end
+    layout = Layout(shares / shares.sum())
+    parameters = train(learned, head, layout)
+    base_near, near_log = np.log10((c + SMOOTH) / base_all), np.log10(c + SMOOTH)
+    slot_log = np.log10(n_ + SMOOTH * (v_ + 1))
+    base_end, ten, known_end = float(np.log10((total.end + SMOOTH) / base_all)), np.log(10), int(total.end > 0)
 
     def judge(batches):
-        find = Lookup(words)
+        find, model = Lookup(words), Scorer(parameters, layout)
         serial = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts = textkit.as_bytes(batch.column(1))
@@ -216,12 +327,15 @@ def score(docs: DataFrame, training=None) -> DataFrame:
                 m = b - a
                 hashes = w.hash.view(np.int64)
                 rank = find(hashes)
-                text, token, one, two = _sequence(w, _classes(rank))
-                model = np.bincount(text, one_[one, token] + two_[two, token] - norm[two, one], m) / ten
+                of = classes(rank, hashes)
+                text, token, before = _sequence(w, of)
+                own = np.bincount(text, model(token, before), m) / ten
                 there = rank >= 0
                 base = base_end + np.bincount(w.text[there], base_near[rank[there]], m)
-                rare = there & (rank >= HEAD)
-                model += np.bincount(w.text[rare], tail_near[rank[rare]], m)
+                shared = of >= HEAD
+                own -= np.bincount(w.text[shared], slot_log[of[shared] - HEAD], m)
+                rare = there & shared
+                own += np.bincount(w.text[rare], near_log[rank[rare]], m)
                 known = known_end + np.bincount(w.text[there], minlength=m)
                 far = np.flatnonzero(~there)
                 order = far[np.lexsort((hashes[far], w.text[far]))]
@@ -231,7 +345,7 @@ def score(docs: DataFrame, training=None) -> DataFrame:
                 times = np.diff(np.append(np.flatnonzero(new), len(order)))
                 at = np.append(0, np.cumsum(np.bincount(t[new], minlength=m))).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array(np.arange(serial, serial + m)), batch.column(0)[a:b], batch.column(2)[a:b], pa.array(np.diff(w.first) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(at, pa.array(h[new])), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))],
+                    [pa.array(np.arange(serial, serial + m)), batch.column(0)[a:b], batch.column(2)[a:b], pa.array(np.diff(w.first) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(own), pa.ListArray.from_arrays(at, pa.array(h[new])), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times"],
                 )
                 serial += m
@@ -243,7 +357,7 @@ def score(docs: DataFrame, training=None) -> DataFrame:
     more = far.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_far"),
         F.sum(F.col("times") * F.log10(c_ / base_all)).alias("base_far"),
-        F.sum(F.col("times") * F.log10(c_ / tail_all)).alias("model_far"),
+        F.sum(F.col("times") * F.log10(c_)).alias("model_far"),
     )
     both = first.drop("words", "times").join(common.written(more, "far"), "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
