@@ -1,17 +1,19 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tamarack.llm import langid
 
-WORDS = {"en": "the of and that with from this have which their would there", "de": "der die und nicht eine mit auf werden haben schaft zwischen", "fr": "les des une dans pour avec cette être sont aux même"}
+WORDS = {"en": "the of and that with from this have which their would there", "de": "der die und nicht eine mit auf werden haben schaft zwischen", "fr": "les des une dans pour avec cette être sont aux même", "fi": "että mutta kun niin ovat myös ollut sekä joka hänen kanssa jälkeen ennen"}
 
 
-def corpus(spark, n=240):
+def corpus(spark, n=240, langs=("en", "de", "fr")):
     rng = random.Random(1)
     rows = []
     for i in range(n):
-        lang = ["en", "de", "fr"][i % 3]
+        lang = langs[i % len(langs)]
         rows.append((i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.randint(3, 40))), lang))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string")
 
@@ -40,6 +42,39 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.fitted(docs) is None
     assert langid.predict(docs, None).first().lang_pred == "und"
-    assert langid.recognised(docs, None).count() == 0
+    assert [r.text for r in langid.recognised(docs.union(docs.selectExpr("2L", "'12'", "lang")), None).collect()] == ["abc"]
     empty = docs.limit(0)
     assert langid.predict(empty, langid.fitted(corpus(spark))).count() == 0
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    """Learned ones stay, short texts of theirs too."""
+    learned = corpus(spark, 6000, ("en", "de", "fr"))
+    model = langid.fitted(learned.where("doc_id % 4 <> 1"))
+    own = langid.predict(learned.where("doc_id % 4 = 1"), model).collect()
+    assert sum(r.rejected for r in own) <= 0.01 * len(own)
+    assert not any(r.rejected for r in langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(["der die und", "the of and", "les des une"])], "doc_id long, text string"), model).collect())
+    rows = [(i, " ".join(random.Random(i).choices(WORDS["fi"].split(), k=40))) for i in range(200)]
+    foreign = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sum(r.rejected for r in foreign) >= 0.9 * len(foreign)
+
+
+def test_probabilities_are_those_of_the_plain_model():
+    """Features one by one, in Python's integers, against the arrays."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, 2, (1 << langid.BUCKETS_BITS, 3)).astype(np.float32), rng.normal(0, 1, 3), np.zeros(4))
+    texts = [b"", b"x", "Über allen Gipfeln ist Ruh".encode(), b"12 & 34", b"The END of\nthe world " * 30]
+
+    def plain(text):
+        data = [c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text] + [32]
+        logits, count = [0.0] * 3, 0
+        for n, seed in zip(langid.GRAMS, langid._SEEDS, strict=True):
+            for i in range(len(data)):
+                code = sum((data[i + j] if i + j < len(data) else 32) << 8 * j for j in range(n))
+                h = ((code * seed & 0xFFFFFFFF) ^ code >> 15) * seed & 0xFFFFFFFF
+                row = model.table[h >> 32 - langid.BUCKETS_BITS]
+                logits, count = [x + float(y) for x, y in zip(logits, row, strict=True)], count + 1
+        e = [math.exp(x / count + b) for x, b in zip(logits, model.bias, strict=True)]
+        return [x / sum(e) for x in e]
+
+    assert np.allclose(model.probabilities(texts), [plain(t) for t in texts], atol=1e-4)
