@@ -32,17 +32,17 @@ from ..session import map_in_arrow
 from . import common, textkit
 
 U = textkit.U
-HEAD, SHARED = 12_287, 4096
+HEAD, SHARED = 6143, 2048
 END = HEAD + SHARED
 CLASSES = END + 1
-GROUPS = 128
+GROUPS = 96
 #: Most frequent words whose counts go to every task; the counts of others are joined.
 NEAR = 1 << 17
 SMOOTH = 0.1
-BEFORE, DIMENSIONS, BATCH, ROUNDS = 3, 32, 4096, 1
-#: Noise groups of a batch, and noise classes of each token.
+BEFORE, DIMENSIONS, BATCH, ROUNDS = 3, 24, 4096, 1
+#: Noise groups of a batch, and noise classes of each group in it.
 NOISE, NOISE_EACH = 24, 2
-RATE = 0.2
+RATE = 0.1
 END_HASH = 1
 
 
@@ -116,6 +116,9 @@ class Layout:
         put("of", group)  # of each place
         put("heap", np.append(0.0, mass))
         put("mass", np.diff(self.heap[self.first]))
+        put("within", np.diff(self.heap) / self.mass[group])
+        put("against", np.log(NOISE_EACH * self.within).astype(np.float32))
+        put("against_group", np.log(NOISE * self.mass / self.mass.sum()).astype(np.float32))
         put("noise", np.cumsum(self.mass) / self.mass.sum())
 
     @property
@@ -131,9 +134,16 @@ def initial(layout: Layout) -> list[np.ndarray]:
     """Parameters under which each class has its share, whatever the context. Rows of EMBED and CLASS are places."""
     rng = np.random.default_rng(3)
     with_bias = lambda p: np.concatenate([np.zeros((len(p), DIMENSIONS)), np.log(p)[:, None]], 1).astype(np.float32)
-    within = np.diff(layout.heap) / layout.mass[layout.of]
     scale = np.repeat(np.array([[1.0], [0.6], [0.4]])[:BEFORE], DIMENSIONS, 1)
-    return [rng.normal(0, 0.3, (CLASSES, DIMENSIONS)).astype(np.float32), with_bias(within), with_bias(layout.mass), scale.astype(np.float32)]
+    return [rng.normal(0, 0.3, (CLASSES, DIMENSIONS)).astype(np.float32), with_bias(layout.within), with_bias(layout.mass), scale.astype(np.float32)]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -145,50 +155,66 @@ class Trainer:
         self.times = [np.zeros(len(p), np.float32) for p in parameters]
         self.rng = np.random.default_rng(seed)
 
-    def _move(self, which: int, rows: np.ndarray, grads: np.ndarray) -> None:
-        """Subtract gradients; those of the same row are summed first."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        total, rows = np.add.reduceat(grads[order], at, axis=0), rows[at]
-        self.sums[which][rows] += (total * total).mean(1)
-        self.now[which][rows] -= RATE * total / np.sqrt(self.sums[which][rows])[:, None]
-        self.times[which][rows] += np.diff(np.append(at, len(order)))
+    def _move(self, which: int, rows: np.ndarray, grads: np.ndarray, times) -> None:
+        """Subtract the gradients of distinct rows, and count how often each was met."""
+        sums = self.sums[which][rows] + np.einsum("ij,ij->i", grads, grads) / grads.shape[1]
+        self.sums[which][rows] = sums
+        self.now[which][rows] -= grads * (RATE / np.sqrt(sums))[:, None]
+        self.times[which][rows] += times
 
     def step(self, place: np.ndarray, before: np.ndarray) -> None:
         """One batch: each token's place, and the places before it."""
         L, m = self.layout, len(place)
         embed, out, top, scale = self.now
+        # In the order of places, tokens of a class, and of a group, are neighbours.
+        order = np.argsort(place.astype(np.uint16), kind="stable")  # sixteen bits are sorted by radix
+        place, before = place[order], before[:, order]
+        starts = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        lengths = lambda at: np.diff(np.append(at, m)).astype(np.float32)
         parts = embed[before]
-        context = (parts * scale[:, None]).sum(0)
-        ones = np.append(context, np.ones((m, 1), np.float32), 1)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        ones = np.ones((m, DIMENSIONS + 1), np.float32)
+        context = ones[:, :-1]
+        np.einsum("kij,kj->ij", parts, scale, out=context)
         # Groups: noise shared by the batch.
         group = L.of[place]
         noise = np.minimum(np.searchsorted(L.noise, self.rng.random(NOISE)), L.groups - 1)
-        against = np.log(NOISE * L.mass / L.mass.sum()).astype(np.float32)
-        own = (ones * top[group]).sum(1) - against[group]
-        others = ones @ top[noise].T - against[noise]
-        g_own, g_others = sigmoid(own) - 1, sigmoid(others)
-        grown = g_own[:, None] * top[group, :-1] + g_others @ top[noise, :-1]
-        top_rows = np.append(group, noise)
-        top_grads = np.append(g_own[:, None] * ones, g_others.T @ ones, 0)
-        # Classes: each token's noise comes from its own group.
-        low, high = L.heap[L.first[group]], L.heap[L.first[group + 1]]
-        drawn = low[:, None] + (high - low)[:, None] * self.rng.random((m, NOISE_EACH))
-        other = np.searchsorted(L.heap, drawn, side="right") - 1
-        other = np.clip(other, L.first[group][:, None], L.first[group + 1][:, None] - 1)
-        every = np.append(place[:, None], other, 1)
-        share = np.diff(L.heap)[every] / L.mass[group][:, None]
-        rows = out[every]
-        logit = np.matmul(rows, ones[:, :, None])[:, :, 0] - np.log(NOISE_EACH * share)
-        g = sigmoid(logit).astype(np.float32)
-        g[:, 0] -= 1
-        grown += np.matmul(g[:, None], rows[:, :, :-1])[:, 0]
-        self._move(CLASS, every.ravel(), (g[:, :, None] * ones[:, None]).reshape(-1, DIMENSIONS + 1) / 64)
-        self._move(GROUP, top_rows, top_grads / 64)
-        self._move(EMBED, before.ravel(), (grown * scale[:, None]).reshape(-1, DIMENSIONS) / 64)
-        self._move(SCALE, np.arange(BEFORE), (parts * grown).sum(1) / m)
+        tops = top[group]
+        g_own = _sigmoid(np.einsum("ij,ij->i", ones, tops) - L.against_group[group]) - 1
+        g_others = _sigmoid(ones @ top[noise].T - L.against_group[noise])
+        grown = g_own[:, None] * tops[:, :-1] + g_others @ top[noise, :-1]
+        at_group = starts(group)
+        used = group[at_group]
+        grads = np.zeros((L.groups, DIMENSIONS + 1), np.float32)
+        grads[used] = np.add.reduceat(g_own[:, None] * ones, at_group, axis=0)
+        np.add.at(grads, noise, g_others.T @ ones)
+        met = np.unique(np.append(used, noise))
+        self._move(GROUP, met, grads[met] / 64, np.bincount(group, minlength=L.groups)[met] + 1)
+        # Classes: noise shared by the tokens of a group, drawn from the group.
+        low, high = L.heap[L.first[used]][:, None], L.heap[L.first[used + 1]][:, None]
+        other = np.searchsorted(L.heap, low + (high - low) * self.rng.random((len(used), NOISE_EACH)), side="right") - 1
+        other = np.clip(other, L.first[used][:, None], L.first[used + 1][:, None] - 1)
+        of = np.repeat(np.arange(len(used)), np.diff(np.append(at_group, m)))
+        own, rest = out[place], out[other]
+        g_own = _sigmoid(np.einsum("ij,ij->i", ones, own) - L.against[place]) - 1
+        grown += g_own[:, None] * own[:, :-1]
+        g_rest = np.empty((m, NOISE_EACH), np.float32)
+        for j in range(NOISE_EACH):
+            row = rest[:, j][of]
+            g_rest[:, j] = g = _sigmoid(np.einsum("ij,ij->i", ones, row) - L.against[other[:, j]][of])
+            grown += g[:, None] * row[:, :-1]
+        at_class = starts(place)
+        mine = np.add.reduceat(g_own[:, None] * ones, at_class, axis=0)
+        others = np.stack([np.add.reduceat(g_rest[:, j, None] * ones, at_group, axis=0) for j in range(NOISE_EACH)], 1)
+        self._sum_and_move(CLASS, np.append(place[at_class], other), np.append(mine, others.reshape(-1, DIMENSIONS + 1), 0) / 64, np.append(lengths(at_class), np.ones(other.size, np.float32)))
+        self._sum_and_move(EMBED, before.ravel(), (grown * (scale / 64)[:, None]).reshape(-1, DIMENSIONS), np.ones(before.size, np.float32))
+        self._move(SCALE, np.arange(BEFORE), np.einsum("kij,ij->kj", parts, grown) / m, m)
+
+    def _sum_and_move(self, which: int, rows: np.ndarray, grads: np.ndarray, times: np.ndarray) -> None:
+        """_move for rows that may be there several times."""
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows = rows[order]
+        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        self._move(which, rows[at], np.add.reduceat(grads[order], at, axis=0), np.add.reduceat(times[order], at))
 
     def changed(self) -> pa.RecordBatch:
         """which, row, times, v0, v1, ...: the rows that a batch changed."""
@@ -257,25 +283,30 @@ class Scorer:
 
     @staticmethod
     def _log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        most = logits.max(1)
-        return logits[np.arange(len(logits)), chosen] - most - np.log(np.exp(logits - most[:, None]).sum(1, dtype=np.float64))
-
-    def __call__(self, token: np.ndarray, before: np.ndarray, size: int = 32_768) -> np.ndarray:
+        """Of each row, the logarithm of the chosen one's share after exp; logits are overwritten."""
+        if logits.max() > 60:  # else no sum can overflow
+            logits -= logits.max(1, keepdims=True)
+        own = logits[np.arange(len(logits)), chosen]
+        np.exp(logits, out=logits)
+        return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+    def __call__(self, token: np.ndarray, before: np.ndarray, size: int = 16_384) -> np.ndarray:
         """Natural logarithms; token and before are classes."""
         L, out = self.layout, np.zeros(len(token))
         for a in range(0, len(token), size):
             place = L.place[token[a : a + size]]
             context = sum(self.scale[k] * self.embed[L.place[before[k, a : a + size]]] for k in range(BEFORE))
             group = L.of[place]
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.uint8), kind="stable")
             group, place, context = group[order], place[order], context[order]
-            got = self._log_shares(context @ self.top[:, :-1].T + self.top[:, -1], group)
+            context = np.append(context, np.ones((len(context), 1), np.float32), 1)
+            got = self._log_shares(context @ self.top.T, group).astype(np.float64)
             at = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 lo, hi = L.first[group[i]], L.first[group[i] + 1]
                 for x in range(i, j, step := max(1, (1 << 21) // (hi - lo))):
                     y = min(j, x + step)
-                    got[x:y] += self._log_shares(context[x:y] @ self.out[lo:hi, :-1].T + self.out[lo:hi, -1], place[x:y] - lo)
+                    got[x:y] += self._log_shares(context[x:y] @ self.out[lo:hi].T, place[x:y] - lo)
             out[a + order] = got
         return out
 
