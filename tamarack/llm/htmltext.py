@@ -24,25 +24,34 @@ from pyspark.sql import functions as F
 from ..session import map_in_arrow
 from . import common
 
-_SKIP = "script|style|textarea|title|noscript|template|iframe|svg|select|button|object|canvas|video|audio|map|math|datalist"
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_SKIP})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S | re.I)
+#: Elements whose content is no markup, up to their end tag or the page's end.
+_RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
+#: Elements whose content isn't shown as text.
+_HIDDEN = frozenset("noscript template select button object canvas video audio map math svg datalist".split())
+# A value may hold any quotes but its own; a quote that is never closed belongs to an unquoted value.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:--!?>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<({_RAW})(?=[\s/>]){_ATTRIBUTES}(?:>|\Z).*?(?:</\1(?=[\s/>]){_ATTRIBUTES}(?:>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|[^<]+|<""", re.S | re.I)
 _BLOCK = frozenset("html body head main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary hr center dialog menu hgroup search".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "body": ("head", ()), "tbody": ("thead tbody tr td th", ("table",))}
 _WORD = re.compile(r"[a-z]+")
-_NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![^\s/"'])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _KEYS = {
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense dfp".split(),
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar tabs pagination pager".split(),
     "foot": "footer foot copyright legal colophon contentinfo".split(),
-    "head": "header head masthead topbar logo branding".split(),
+    "head": "header head".split(),
+    "site": "masthead topbar logo branding site".split(),
     "side": "sidebar side aside widget widgets related recommended recirc trending popular complementary".split(),
+    "by": "byline author meta date dateline published timestamp".split(),
     "note": "notice notices cookie cookies consent gdpr alert popup modal overlay banner newsletter subscribe signup paywall".split(),
     "talk": "comment comments commentlist disqus reply replies respond discussion reader feedback".split(),
     "form": "form login search searchbox".split(),
     "social": "share social sharing follow twitter facebook".split(),
     "main": "content article main post entry story body text page hentry prose document".split(),
 }
+#: Kinds of elements that hold others, for the potentials of edges.
+_HOLDS = {t: k for k, tags in {"b": "#root html body", "a": "article main", "d": "div section center", "l": "ul ol li dl dd dt table tbody tr td th", "h": "header", "f": "footer nav aside form"}.items() for t in tags.split()}
 _KEY = {w: k for k, words in _KEYS.items() for w in words}
 
 
@@ -54,7 +63,7 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self.shares: list[tuple[int, int]] = []  # of each block: characters, those in links
         stack, parts, linked, in_link = [0], [], 0, False
-        length = 0
+        length, hidden = 0, []  # (element that hides its content, depth there)
 
         def flush():
             nonlocal length, linked
@@ -70,6 +79,8 @@ class Page:
         for m in _TOKEN.finditer(source):
             s = m[0]
             if s[0] != "<" or s == "<":
+                if hidden:
+                    continue
                 text = html.unescape(s) if "&" in s else s
                 parts.append(text)
                 n = len(text.strip())
@@ -80,7 +91,13 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
-            if m[2]:
+            if tag in _HIDDEN:
+                if not m[2]:
+                    hidden.append((tag, len(stack)))
+                elif any(t == tag for t, _ in hidden):
+                    while hidden.pop()[0] != tag:
+                        pass
+            elif m[2]:
                 if tag == "a":
                     in_link = False
                 elif tag in _BLOCK:
@@ -90,6 +107,8 @@ class Page:
                         if self.tags[stack[i]] == tag:
                             del stack[i:]
                             break
+                    while hidden and len(stack) < hidden[-1][1]:
+                        hidden.pop()  # it was never closed
             elif tag == "a":
                 in_link = True
             elif tag == "br" or tag == "hr":
@@ -134,6 +153,10 @@ class Page:
                     found.add("k:" + _KEY[w])
         return tuple(sorted(found))
 
+    def edges(self) -> list[str]:
+        """The kind of each node's edge with its parent: by the parent's tag, and whether the node is text."""
+        return [f"{_HOLDS.get(self.tags[p], 'o') if i else '-'}:{'x' if self.tags[i] == '#text' else 'e'}" for i, p in enumerate(self.parent)]
+
     def features(self) -> list[list[str]]:
         """Of each node."""
         size, links, units = [0] * len(self.tags), [0] * len(self.tags), [0] * len(self.tags)
@@ -148,8 +171,8 @@ class Page:
         for i, tag in enumerate(self.tags):
             kind = "x" if tag == "#text" else "e"
             dense = "0" if not links[i] else "1" if links[i] * 3 < size[i] else "2" if links[i] * 3 < 2 * size[i] else "3"
-            long_ = min(6, (size[i] // max(1, units[i])).bit_length() // 2) if size[i] else -1
-            out.append([f"t:{tag}", f"d:{kind}{dense}", f"l:{kind}{long_}", *self.named[i], *(f"{k}:{tag}" for k in self.named[i])])
+            long_ = min(6, max(2, (size[i] // max(1, units[i])).bit_length() // 2)) if size[i] else -1  # up to 15 characters are alike
+            out.append([f"t:{tag}", f"c:{_HOLDS.get(self.tags[self.parent[i]], 'o') if i else '-'}:{tag}", f"d:{kind}{dense}", f"l:{kind}{long_}", *self.named[i], *(f"{k}:{tag}" for k in self.named[i])])
         return out
 
 
@@ -187,8 +210,13 @@ class Model:
     def potentials(self, page: Page, features=None):
         w = self.weights
         own = [sum(w.get(f, 0.0) for f in fs) for fs in features or page.features()]
-        edges = {k: tuple(w.get(f"{k}{j}", 0.0) for j in range(4)) for k in "ex"}
-        return own, [edges["x" if t == "#text" else "e"] for t in page.tags]
+        known: dict[str, tuple] = {}
+        edges = []
+        for k in page.edges():
+            if k not in known:
+                known[k] = tuple(w.get(f"{k}{j}", 0.0) for j in range(4))
+            edges.append(known[k])
+        return own, edges
 
     def text(self, source: str) -> str:
         """A page's content: its blocks joined by line feeds."""
@@ -202,10 +230,10 @@ class Model:
 _TEXT = """time year people way day man thing woman life child world school state family student group country problem hand
 part place case week company system program question work government number night point home water room mother area money
 story fact month lot right study book eye job word business issue side kind head house service friend father power hour
-game line end member law car city community name president team minute idea kid body information back parent face""".split()
+a y i ä ó à 7 12 2024 game line end member law car city community name president team minute idea kid body information back parent face""".split()
 
 
-def labelled(number: int = 110) -> list[tuple[str, list[bool]]]:
+def labelled(number: int = 260) -> list[tuple[str, list[bool]]]:
     """Pages and, for each of their nodes but the root, whether it is content.
 
     In the source, content elements carry an attribute that only this function reads.
@@ -217,31 +245,41 @@ def labelled(number: int = 110) -> list[tuple[str, list[bool]]]:
     pick = rng.choice
     out = []
     for _ in range(number):
-        menu = pick([f"<nav><ul>{links(5)}</ul></nav>", f'<div class="menu"><ul>{links(6)}</ul></div>', f'<ul id="navigation">{links(4)}</ul>', f"<nav>{links(4, 'span')}</nav>", f'<div id="breadcrumb">{links(3, "span")}</div>'])
+        some = rng.randint(1, 8)
+        menu = pick([f"<nav><ul>{links(some)}</ul></nav>", f'<div class="menu"><ul>{links(some)}</ul></div>', f'<ul id="navigation">{links(some)}</ul>', f"<nav>{links(some, 'span')}</nav>", f'<div id="breadcrumb">{links(some, "span")}</div>'])
         head = pick(["", f"<header><p>{words(1, 4)}</p>{menu}</header>", f'<div id="masthead"><h1>{words(1, 3)}</h1><p>{sentence(3, 8)}</p></div>', f"<header><div>{words(2, 5)}</div></header>"])
-        ad = lambda: pick([f'<div class="{pick(["ad", "ads banner", "sponsored", "promo"])}">{sentence(1, 20)}</div>', f'<aside class="advert"><p>{sentence(2, 16)}</p></aside>', ""])  # noqa: E731,B023
-        note = lambda: pick(["", f'<div class="cookie-notice"><p>{sentence(6, 20)}</p></div>', f'<div id="newsletter"><p>{sentence(5, 15)}</p></div>', f'<p class="notice">{sentence(4, 12)}</p>'])
+        ad = lambda: pick([f'<div class="{pick(["ad", "ads banner", "sponsored", "promo"])}">{sentence(1, 20)}</div>', f'<aside class="advert"><p>{sentence(1, 16)}</p></aside>', ""])  # noqa: E731,B023
+        note = lambda: pick(["", f'<div class="cookie-notice"><p>{sentence(1, 20)}</p></div>', f'<div id="newsletter"><p>{sentence(1, 15)}</p></div>', f'<p class="notice">{sentence(1, 12)}</p>'])
         side = pick(["", f"<aside><h3>{words(1, 3)}</h3><ul>{links(4)}</ul></aside>", f'<div class="sidebar"><p>{sentence(5, 25)}</p><ul>{links(3)}</ul></div>', f'<aside class="related"><p>{sentence(3, 20)}</p></aside>'])
-        foot = pick([f"<footer>&copy; {words(1, 3)} &middot; {sentence(1, 25)}</footer>", f'<div id="footer"><p>{sentence(3, 20)}</p></div>', f"<footer><p>{sentence(2, 10)}</p><ul>{links(3)}</ul></footer>", ""])
+        foot = pick([f"<footer>&copy; {words(1, 3)} &middot; {sentence(1, 25)}</footer>", f'<div id="footer"><p>{sentence(1, 20)}</p></div>', f"<footer><p>{sentence(1, 10)}</p><ul>{links(3)}</ul></footer>", ""])
         form = pick(["", f"<form><p>{words(2, 5)}</p><input></form>", f'<form class="search"><label>{words(1, 2)}</label></form>', f"<form><fieldset><legend>{words(1, 3)}</legend><div>{sentence(2, 8)}</div></fieldset></form>"])
-        said = "".join(f'<{t} class="comment"><p>{sentence(3, 40)}</p></{t}>' for t in [pick(["div", "li"])] * rng.randint(1, 4))
+        said = "".join(f'<{t} class="comment"><p>{sentence(1, 40)}</p></{t}>' for t in [pick(["div", "li"])] * rng.randint(1, 4))
         talk = pick(["", "", f'<section class="comments"><h3>{words(1, 2)}</h3>{said}</section>', f'<div id="comments">{said}</div>', f'<ol class="commentlist">{said}</ol>', f'<section id="discussion"><p>{sentence(3, 30)}</p></section>'])
         title = pick(["h1", "h1", "h2"])
         body = f"<{title} c>{words(1, 9)}</{title}>"
-        for _ in range(rng.choice([1, 2, 3, 5, 8, 14])):
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
             if rng.random() < 0.12:
                 body += pick([ad(), ad(), note(), f'<div class="share">{links(3, "span")}</div>', f'<div class="related"><p>{sentence(2, 12)}</p></div>'])
             body += pick([
                 f"<p c>{' '.join(sentence() for _ in range(rng.randint(1, 9)))}</p>", f"<p c>{sentence(1, 2)}</p>", f"<p c><b>{sentence()}<br>{sentence()}", f"<p c>{sentence()}</p>", f"<p c>{words(1, 1)}</p>",
-                f'<p c>{sentence()} <a href="/x">{words(1, 3)}</a> {sentence()}</p>', f"<h2 c>{words(1, 6)}</h2>", f"<ul c><li c>{sentence(1, 9)}</li><li c>{sentence(2, 14)}</li></ul>", f"<blockquote c><p c>{sentence(3, 20)}</p></blockquote>",
+                f'<p c>{sentence()} <a href="/x">{words(1, 3)}</a> {sentence()}</p>', f'<p c>{words(1, 4)} <a href="/x">{words(1, 4)}</a> {words(1, 6)}</p>', f'<p c><a href="/x">{words(1, 5)}</a> {words(1, 4)}</p>', f'<ul c><li c>{words(1, 3)} <a href="/x">{words(1, 3)}</a></li><li c>{words(2, 6)}</li></ul>', f"<div c>{sentence(2, 20)}</div>", f"{sentence(3, 20)}<br>{sentence(3, 20)}<br>", f"<h2 c>{words(1, 6)}</h2>", f"<ul c><li c>{sentence(1, 9)}</li><li c>{sentence(2, 14)}</li></ul>", f"<blockquote c><p c>{sentence(3, 20)}</p></blockquote>",
                 f"<pre c>{words(2, 20)}</pre>", f"<table c><tr c><td c>{words(1, 2)}</td><td c>{words(1, 3)}</td></tr></table>", f"<p c>{sentence()} {sentence()}</p>", f"<figure c><figcaption c>{sentence(2, 8)}</figcaption></figure>",
             ])
         inside = pick(["", "", ad(), ad(), talk, talk, f'<div class="share">{links(3, "span")}</div>', note()])
-        holder = pick(["article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="story"'])
-        main = f"<{holder} c>{body}{inside}</{holder.split()[0]}>"
+        holder = pick(["article", "article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="story"', "div", "div", ""])
+        if holder and rng.random() < 0.25:  # an article's own head: its title stays, who wrote it and when don't
+            line = f'<{pick(["p", "div"])} class="{pick(["byline", "meta", "author", "date"])}">{words(2, 5)}</{pick(["p", "div"])}>'
+            at = pick(["header", 'div class="article-header"', 'div class="entry-header"'])
+            body = f"<{at}><{title} c>{words(1, 9)}</{title}>{line}</{at.split()[0]}>{body}"
+        # Without a holder the blocks stand right in the body.
+        main = f"<{holder} c>{body}{inside}</{holder.split()[0]}>" if holder else body
         if rng.random() < 0.3:
             main = f"<main>{main}{talk}</main>" if holder != "main" else f"<div>{main}{talk}</div>"
-        out.append(f"<html><body>{pick([head + menu, menu, head])}{note()}{ad()}{main}{side}{form}{talk}{ad()}{foot}</body></html>")
+        around = (pick([head + menu, menu, head]), note(), ad(), main, side, form, talk, ad(), foot) if rng.random() < 0.85 else ("", "", "", main, "", "", "", "", "")
+        page = "".join(around)
+        # Text right in the body is content where the body holds the article's blocks.
+        own = "" if holder else " c"
+        out.append(pick([f"<html><body{own}>{page}</body></html>", f"<html><body{own}>{page}</body></html>", f'<html><body><div id="wrapper"{own}>{page}</div></body></html>', f"<body{own}>{page}"]))
     pages = []
     for source in out:
         page = _Marked(source)
@@ -250,11 +288,17 @@ def labelled(number: int = 110) -> list[tuple[str, list[bool]]]:
 
 
 class _Marked(Page):
-    """A labelled page: elements with the attribute ``c``, and text right in them, are content."""
+    """A labelled page: elements with the attribute ``c``, and text right in them, are content; so is whatever holds content.
+
+    Below an element that isn't content nothing is, then, which is what messages pass down.
+    """
 
     def __init__(self, source: str):
         self.marks = [False]
         super().__init__(source)
+        for i in range(len(self.marks) - 1, 0, -1):
+            if self.marks[i]:
+                self.marks[self.parent[i]] = True
 
     def _node(self, tag, parent, names):
         super()._node(tag, parent, [n for n in names if n != "c"])
@@ -266,7 +310,7 @@ class _Marked(Page):
 
 
 @functools.cache
-def trained(rounds: int = 60, rate: float = 2.0, decay: float = 2e-3) -> Model:
+def trained(rounds: int = 100, rate: float = 40.0, decay: float = 2e-5) -> Model:
     """Weights of the labelled pages' features and edges."""
     data = [(p, p.features(), marks) for p, marks in labelled()]
     model = Model({})
@@ -277,13 +321,14 @@ def trained(rounds: int = 60, rate: float = 2.0, decay: float = 2e-3) -> Model:
         grad: dict[str, float] = {}
         for page, features, marks in data:
             own, edge = model.potentials(page, features)
+            kinds = page.edges()
             odds, inner, outer = marginals(page.parent, own, edge)
             for i, fs in enumerate(features):
                 d = marks[i] - 1 / (1 + math.exp(-max(-500, min(500, odds[i]))))
                 for f in fs:
                     grad[f] = grad.get(f, 0.0) + d
                 if i:
-                    k, e = "x" if page.tags[i] == "#text" else "e", edge[i]
+                    k, e = kinds[i], edge[i]
                     logs = [e[0], e[1] + inner[i], e[2] + outer[i], e[3] + inner[i] + outer[i]]
                     top = max(logs)
                     z = sum(math.exp(x - top) for x in logs)
