@@ -108,3 +108,10 @@ def load_prompts(path: str) -> dict[str, str]:
     if not isinstance(found, dict) or not all(isinstance(found.get(k), str) for k in ("summarizer", "chat")):
         raise ValueError("a prompt file holds an object with the strings summarizer and chat")
     return {k: found[k] for k in ("summarizer", "chat")}
+
+
+def save_prompts(path: str, prompts: dict[str, str]) -> None:
+    """Write a prompt file that load_prompts reads."""
+    if not all(isinstance(prompts.get(k), str) for k in ("summarizer", "chat")):
+        raise ValueError("prompts are the strings summarizer and chat")
+    save_json(path, {k: prompts[k] for k in ("summarizer", "chat")})

@@ -66,8 +66,17 @@ def sanitize(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"\n{4,}", "\n\n\n"), r"(?U)^\s+|\s+$", "")
 
 
+def named(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it, and however filters are moved."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def invalid_reason(chunk: Column, longest: int = 8000) -> Column:
     """Why a chunk isn't stored: empty, too_long, null_bytes or unprintable; null if it is."""
+    return named(chunk, lambda c: _invalid_reason(c, longest))
+
+
+def _invalid_reason(chunk: Column, longest: int) -> Column:
     nulls = F.length(chunk) - F.length(F.regexp_replace(chunk, r"\x00", ""))
     printable = F.length(F.regexp_replace(chunk, r"(?![ \n\t\r])[\p{C}\p{Z}]", ""))
     return (

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import named
 from ..session import ship
 
 
@@ -37,12 +38,10 @@ class HashingEmbedder:
         d = self.dimensions
         words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]+"), F.lit(0))
         buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % d).cast("int"))
-        # One-element arrays name values that are used often, so each is computed once.
-        name = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
         counted = lambda b: F.array(*((F.size(b) - F.size(F.array_remove(b, F.lit(i)))).cast("double") for i in range(d)))
         norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-        scaled = lambda c: name(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-        return df.withColumn(out, name(buckets, lambda b: name(counted(b), scaled)))
+        scaled = lambda c: named(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+        return df.withColumn(out, named(buckets, lambda b: named(counted(b), scaled)))
 
 
 class FunctionEmbedder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -30,6 +31,22 @@ def best(judged: DataFrame, metric: str = "r10", config: str = "config") -> Data
     return means.orderBy(F.desc("value"), config).limit(1)
 
 
+def sweep(found: DataFrame, alphas: list[float], betas: list[float], k: int = 10) -> DataFrame:
+    """alpha, beta, r10, best: mean recall of the first k files for each pair of weights; the best has the highest, ties go to the smaller weights.
+
+    found: query_id, file_path, source, cos_norm, lev, path_distance, expected, as the fused
+    score takes them. Each task keeps k files a query and pair before anything is shuffled.
+    """
+    grid = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a in alphas for b in betas)))
+    decay = F.when(F.col("path_distance") == 0, 1.0).otherwise(F.pow("beta", "path_distance"))
+    scored = found.select("*", grid.alias("g")).select("*", "g.*").withColumn("score", F.round(decay * (F.col("alpha") * F.col("cos_norm") + (1 - F.col("alpha")) * F.col("lev")), 9))
+    order = W.partitionBy("alpha", "beta", "query_id").orderBy(F.desc("score"), "file_path")
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    lists = top.groupBy("alpha", "beta", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("sources"), F.first("expected").alias("expected"))
+    means = lists.groupBy("alpha", "beta").agg(F.avg(M.recall_at(F.col("sources"), F.col("expected"), k)).alias("r10"))  # a row for each pair of weights
+    return means.withColumn("best", F.row_number().over(W.orderBy(F.desc(F.round("r10", 9)), "alpha", "beta")) == 1)
+
+
 def side_by_side(judged: DataFrame, configs: list, metric: str = "r10", config: str = "config", case: str = "name") -> DataFrame:
     """One row a case, one column a config."""
     return judged.groupBy(case).pivot(config, configs).agg(F.first(metric))

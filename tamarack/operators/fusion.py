@@ -49,14 +49,15 @@ def expand_and_rerank(seeds: DataFrame, text: str, edges: DataFrame, files: Data
     """file_path, score, cos_norm, lev, path_distance, source, best first.
 
     seeds, files: file_path, cos_distance, content_snippet; files holds every file that has
-    an embedding, others can't be ranked. score = beta^l * (alpha * cos + (1 - alpha) * lev)
+    an embedding, or its chunks, of which the nearest counts; others can't be ranked. score = beta^l * (alpha * cos + (1 - alpha) * lev)
     with l the path's distance. Seeds are always returned; without seeds nothing is; with
     beta 0 only they are.
     """
     if not 0 <= alpha <= 1 or not 0 <= beta <= 1:
         raise ValueError("alpha and beta lie between 0 and 1")
     reached = graph.bounded_paths(edges, seeds.select(F.col("file_path").alias("node")), max_hops, cost)
-    known = files.unionByName(seeds).groupBy("file_path").agg(F.min_by("content_snippet", "cos_distance").alias("content_snippet"), F.min("cos_distance").alias("cos_distance"))
+    there = files.join(reached.select(F.col("node").alias("file_path")), "file_path", "left_semi")
+    known = there.unionByName(seeds.select(*there.columns)).groupBy("file_path").agg(F.min_by("content_snippet", "cos_distance").alias("content_snippet"), F.min("cos_distance").alias("cos_distance"))
     found = known.join(reached.select(F.col("node").alias("file_path"), F.col("distance").alias("path_distance")), "file_path")
     if beta == 0:
         found = found.where("path_distance = 0")

@@ -93,11 +93,12 @@ class Index:
     def hybrid_search(self, question: str, k: int | None = None) -> DataFrame:
         """Files by fused score; by vectors alone if the graph is off or can't be read."""
         seeds = self.search(question, k).select(F.col("source").alias("file_path"), F.col("distance").alias("cos_distance"), F.col("document").alias("content_snippet"))
-        vectors = self.collection.read("chunks")
-        queries = self.embedder.add(self._questions(question), "text", "embedding")
-        files = retrieval.nearest_sources(vectors, queries, 1 << 30, "cosine", exact_distinct=True).select(F.col("source").alias("file_path"), F.col("distance").alias("cos_distance"), F.col("document").alias("content_snippet"))
-        seeds = files.join(seeds.select("file_path"), "file_path", "left_semi")
-        return fusion.expand_or_fall_back(seeds, question, lambda: self.collection.read("edges") if self.config.graph else None, files, self.config.alpha, self.config.beta, self.config.max_hops)
+        vector = self.embedder.add(self._questions(question), "text", "embedding").first().embedding  # one question
+        cosine = retrieval.distance(F.col("embedding"), F.array(*(F.lit(float(x)) for x in vector)), "cosine")
+        # Chunks, not files: what the graph reaches is joined before anything is ranked.
+        chunks = self.collection.read("chunks").select(F.col("source").alias("file_path"), cosine.alias("cos_distance"), F.col("document").alias("content_snippet"))
+        seeds = chunks.join(seeds.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.min("cos_distance").alias("cos_distance"), F.min_by("content_snippet", "cos_distance").alias("content_snippet"))
+        return fusion.expand_or_fall_back(seeds, question, lambda: self.collection.read("edges") if self.config.graph else None, chunks, self.config.alpha, self.config.beta, self.config.max_hops)
 
     def _questions(self, questions: DataFrame | str) -> DataFrame:
         if isinstance(questions, str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUESTION, SNIPPETS = "<<BUG_TEXT>>", "<<SNIPPETS>>"
@@ -61,11 +62,35 @@ class ExtractiveAnswerer:
         return prompts.withColumn("answer", F.array_join(F.slice(sentences, 1, 3), " "))
 
 
-def token_stream(messages: DataFrame) -> DataFrame:
-    """stream_id, answer: chat messages (stream_id, seq, content, done) joined up to the first that is done."""
-    from pyspark.sql import Window as W
+def token_stream(messages: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """stream_id, answer, tokens, finished: chat messages (stream_id, seq, content, done) joined up to the first that is done.
 
+    cancelled (stream_id, last_seq): streams that were stopped; later messages don't count.
+    finished tells whether a stream came to its end.
+    """
+    if cancelled is not None:
+        messages = messages.join(cancelled, "stream_id", "left").where(F.col("last_seq").isNull() | (F.col("seq") <= F.col("last_seq"))).drop("last_seq")
     before = W.partitionBy("stream_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     open_ = messages.withColumn("over", F.coalesce(F.max(F.col("done").cast("int")).over(before), F.lit(0))).where("over = 0")
     parts = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("c"))))
-    return open_.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["c"]), "").alias("answer"))
+    return open_.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["c"]), "").alias("answer"), F.count("*").alias("tokens"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("finished"))
+
+
+def emit(parts, on_token=None, is_cancelled=None) -> tuple[str, bool]:
+    """(answer, finished) of a service's messages ({"message": {"content"}, "done"}), one by one.
+
+    on_token is called with each piece of text as it comes; is_cancelled is asked before
+    each message, and stops the stream.
+    """
+    out = []
+    for part in parts:
+        if is_cancelled is not None and is_cancelled():
+            return "".join(out), False
+        text = (part.get("message") or {}).get("content") or ""
+        if text:
+            out.append(text)
+            if on_token is not None:
+                on_token(text)
+        if part.get("done"):
+            return "".join(out), True
+    return "".join(out), False

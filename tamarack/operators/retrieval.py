@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries sent to every task are held back by their number; beyond, they are searched in blocks.
-QUERY_BLOCK = 10_000
+#: Numbers in the vectors of the queries that are sent to every task at once; more queries go in blocks.
+BLOCK_VALUES = 1_000_000
 
 
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
@@ -24,11 +26,13 @@ def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
 
 
 def _distances(chunks: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
-    """Every query with every chunk; queries are broadcast if their number has been checked."""
+    """Every query with every chunk. Queries are counted and broadcast in blocks of BLOCK_VALUES numbers, each with its own scan."""
     few = queries.select("query_id", F.col("embedding").alias("query_embedding"))
-    if few.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        few = F.broadcast(few)
-    return chunks.join(few).withColumn("distance", distance(F.col("embedding"), F.col("query_embedding"), metric)).drop("embedding", "query_embedding")
+    values = few.agg(F.sum(F.size("query_embedding").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-values // BLOCK_VALUES))
+    parts = [few.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else few for i in range(blocks)]
+    met = [chunks.join(F.broadcast(part)).withColumn("distance", distance(F.col("embedding"), F.col("query_embedding"), metric)).drop("embedding", "query_embedding") for part in parts]
+    return functools.reduce(DataFrame.unionByName, met)
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, n: int, metric: str = "l2sq", key: str = "id") -> DataFrame:

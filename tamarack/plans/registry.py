@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import diagnostics, evaluate, fusion, graph, prompt, retrieval, sync
+from ..operators import chunking, diagnostics, evaluate, fusion, graph, prompt, retrieval, sync
 from ..operators.embed import HashingEmbedder
+from ..session import spread
 from ..streaming import progress
 
 QUERIES: dict = {}
@@ -33,7 +34,8 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "embeddings", "pages") else table
 
 
 def _r(column, name: str, digits: int = 6):
@@ -79,13 +81,13 @@ def q03_chunk_sanitize(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), T.sanitize(T.with_header(F.col("source"), dirty)).alias("document"))
 
 
-@_query(r"""WITH junk AS (SELECT CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat(text, 10) WHEN 2 THEN '  ' || chr(10) ELSE repeat(chr(8203), CAST(least(length(text), 400) AS BIGINT)) || substr(text, 1, 300) END AS x FROM documents),
+@_query(r"""WITH junk AS (SELECT CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat(text, 10) WHEN 2 THEN '  ' || chr(10) ELSE repeat(chr(8203), CAST(length(text) AS BIGINT)) || text END AS x FROM documents),
   why AS (SELECT CASE WHEN regexp_replace(x, '[\s\pZ]', '', 'g') = '' THEN 'empty' WHEN length(x) > 8000 THEN 'too_long'
     WHEN length(x) > 100 AND (length(regexp_replace(x, '[\pC\pZ]', '', 'g')) + length(x) - length(regexp_replace(x, '[ \n\t\r]', '', 'g'))) / CAST(length(x) AS DOUBLE) < 0.7 THEN 'unprintable' ELSE 'valid' END AS reason FROM junk)
   SELECT reason, count(*) AS n FROM why GROUP BY reason""")
 def q04_chunk_validate_reasons(spark, sf_dir):
     k, t = F.col("doc_id") % 4, F.col("text")
-    junk = F.when(k == 0, t).when(k == 1, F.repeat(t, 10)).when(k == 2, "  \n").otherwise(F.concat(F.repeat(F.lit("​"), F.least(F.length(t), F.lit(400))), F.substring(t, 1, 300)))
+    junk = F.when(k == 0, t).when(k == 1, F.repeat(t, 10)).when(k == 2, "  \n").otherwise(F.concat(F.repeat(F.lit("\u200b"), F.length(t)), t))
     return _table(spark, sf_dir, "documents").select(F.coalesce(T.invalid_reason(junk), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -266,10 +268,16 @@ GRID = [(s, o) for s in (400, 800, 1200) for o in (0, 100, 200)]
   w AS (SELECT size, overlap, doc_id, length(substr(text, CAST(i * (size - overlap) + 1 AS BIGINT), size)) AS len FROM (SELECT n.*, d.text, unnest(range(0, c)) AS i FROM n JOIN documents d USING (doc_id)))
   SELECT CAST(size AS BIGINT) AS size, CAST(overlap AS BIGINT) AS overlap, count(*) AS chunks, count(DISTINCT doc_id) AS docs, round(avg(len), 6) AS mean_chars FROM w GROUP BY ALL""")
 def q20_chunk_grid_sweep(spark, sf_dir):
+    """Windows are counted and measured by arithmetic on text lengths; no text is cut."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("l")).where("l > 0")
     grid = F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in GRID)))
-    swept = _table(spark, sf_dir, "documents").select("doc_id", "text", grid.alias("g")).select("doc_id", "g.size", "g.overlap", F.explode(T.windows(F.col("text"), F.col("g.size"), F.col("g.overlap"))).alias("chunk"))
-    per = swept.groupBy("size", "overlap", "doc_id").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"))
-    return per.groupBy(F.col("size").cast("long").alias("size"), F.col("overlap").cast("long").alias("overlap")).agg(F.sum("n").alias("chunks"), F.count("*").alias("docs"), _r(F.sum("chars") / F.sum("n"), "mean_chars"))
+    step = F.col("size") - F.col("overlap")
+    n = F.when(F.col("l") <= F.col("size"), 1).otherwise(1 + F.ceil((F.col("l") - F.col("size")) / step)).cast("long")
+    cut = d.select("l", grid.alias("g")).select("l", "g.size", "g.overlap").withColumn("n", n)
+    chars = (F.col("n") - 1) * F.col("size") + F.col("l") - (F.col("n") - 1) * step  # all windows but the last are full
+    sums = cut.groupBy(F.col("size").cast("long").alias("size"), F.col("overlap").cast("long").alias("overlap")).agg(F.sum("n").alias("chunks"), F.sum(chars).alias("chars"))
+    docs = d.agg(F.countDistinct("doc_id").alias("docs"))  # one row
+    return sums.crossJoin(F.broadcast(docs)).select("size", "overlap", "chunks", "docs", _r(F.col("chars") / F.col("chunks"), "mean_chars"))
 
 
 DIMS = (8, 16, 64)
@@ -328,13 +336,13 @@ def q23_answer_metrics(spark, sf_dir):
 
 def snippets(spark, sf_dir) -> DataFrame:
     """query_id, rank, source, chunk_index, document, distance, score: documents as scored hits of their source."""
-    d = _table(spark, sf_dir, "documents").where("doc_id % 7 = 0")
+    d = _table(spark, sf_dir, "documents")
     w = W.partitionBy("source").orderBy("doc_id")
     hits = d.select(F.col("source").alias("query_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("source"), (F.col("doc_id") % 3).alias("chunk_index"), F.col("text").alias("document"), (F.col("n_chars") % 97 / 97.0).alias("distance"), F.row_number().over(w).alias("rank"))
     return retrieval.relative_scores(hits.where("rank <= 6"))
 
 
-_SNIPPETS = "hits AS (SELECT * FROM (SELECT source AS query_id, lang || '/' || doc_id AS source, doc_id % 3 AS chunk_index, text AS document, n_chars % 97 / 97.0 AS distance, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 7 = 0) WHERE rank <= 6), scored AS (SELECT *, CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 100.0 ELSE 100 * (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS score FROM hits WINDOW w AS (PARTITION BY query_id))"
+_SNIPPETS = "hits AS (SELECT * FROM (SELECT source AS query_id, lang || '/' || doc_id AS source, doc_id % 3 AS chunk_index, text AS document, n_chars % 97 / 97.0 AS distance, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 6), scored AS (SELECT *, CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 100.0 ELSE 100 * (max(distance) OVER w - distance) / (max(distance) OVER w - min(distance) OVER w) END AS score FROM hits WINDOW w AS (PARTITION BY query_id))"
 _CONTEXT = "ctx AS (SELECT query_id, string_agg('[Snippet ' || rank || ' from ' || source || ' chunk ' || chunk_index || ']' || chr(10) || document, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id)"
 
 
@@ -374,24 +382,39 @@ def q26_graph_bounded_paths(spark, sf_dir):
     return graph.bounded_paths(edges(spark, sf_dir), seeds).select("node", _r("distance", "distance"))
 
 
-def _hybrid(spark, sf_dir, alpha, which="true"):
+_WORDING = "vector 12 in file 3"
+
+
+def _hybrid(spark, sf_dir, alpha):
     v = _table(spark, sf_dir, "embeddings")
     query = [float(x) for x in v.where("vec_id = 0").first().embedding]  # one vector
     d = retrieval.distance(F.col("embedding"), F.array(*map(F.lit, query)), "cosine")
-    ranked = v.where(which).select(F.col("vec_id").alias("file_path"), d.alias("cos_distance"), F.concat(F.lit("chunk of vector "), F.col("vec_id").cast("string"), F.lit(" in file "), F.col("label").cast("string")).alias("content_snippet"))
+    ranked = v.select(F.col("vec_id").alias("file_path"), d.alias("cos_distance"), F.concat(F.lit("chunk of vector "), F.col("vec_id").cast("string"), F.lit(" in file "), F.col("label").cast("string")).alias("content_snippet"))
     seeds = ranked.orderBy("cos_distance", "file_path").limit(12)
-    out = fusion.expand_and_rerank(seeds, "vector 12 in file 3", edges(spark, sf_dir), ranked, alpha, 0.6, 3)
+    out = fusion.expand_and_rerank(seeds, _WORDING, edges(spark, sf_dir), ranked, alpha, 0.6, 3)
     return out.select("file_path", *(_r(c, c) for c in ("score", "cos_norm", "lev", "path_distance")), "source")
 
 
-@_query(f"""WITH RECURSIVE d AS (SELECT c.vec_id AS file, {_dist("cosine")} AS dist FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND c.vec_id % 9 <> 5), seeds AS (SELECT file FROM d ORDER BY dist, file LIMIT 12),
-  {_PATHS.replace("FROM embeddings WHERE vec_id % 100 = 0", "FROM embeddings WHERE vec_id IN (SELECT file FROM seeds)")}
-  SELECT d.file AS file_path, round(pow(0.6, path.distance) * (1 - dist), 6) AS score, round(1 - dist, 6) AS cos_norm, 0.0::DOUBLE AS lev, round(path.distance, 6) AS path_distance, CASE WHEN path.distance = 0 THEN 'vector' ELSE 'graph' END AS source FROM d JOIN path ON path.node = d.file""")
+def _hybrid_sql(alpha: float) -> str:
+    """The longest common subsequence goes bit by bit: a number's bits are places of the wording, and each character of a snippet moves them."""
+    n = len(_WORDING)
+    full = (1 << n) - 1
+    mask = " + ".join(f"CASE WHEN c = '{c}' THEN {sum(1 << i for i, x in enumerate(_WORDING) if x == c)}::BIGINT ELSE 0 END" for c in sorted(set(_WORDING)))
+    lev = f"""2.0::DOUBLE * lcs / ({n} + length(snippet))"""
+    wording = f"""t AS (SELECT vec_id AS file, 'chunk of vector ' || vec_id || ' in file ' || label AS snippet FROM embeddings), u AS (SELECT file, snippet, list_transform(string_split(snippet, ''), lambda c: {mask}) AS masks FROM t),
+  l AS (SELECT file, snippet, {n} - bit_count(list_reduce(masks, lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full}::BIGINT, {full}::BIGINT)) AS lcs FROM u)"""
+    return f"""WITH RECURSIVE d AS (SELECT c.vec_id AS file, {_dist("cosine")} AS dist FROM embeddings c, embeddings q WHERE q.vec_id = 0), seeds AS (SELECT file FROM d ORDER BY dist, file LIMIT 12),
+  {_PATHS.replace("FROM embeddings WHERE vec_id % 100 = 0", "FROM embeddings WHERE vec_id IN (SELECT file FROM seeds)")}, {wording},
+  r AS (SELECT d.file, dist, path.distance AS far, {lev if alpha < 1 else "0.0::DOUBLE"} AS lev FROM d JOIN path ON path.node = d.file JOIN l ON l.file = d.file)
+  SELECT file AS file_path, round(pow(0.6, far) * ({alpha} * (1 - dist) + {1 - alpha} * lev), 6) AS score, round(1 - dist, 6) AS cos_norm, round(lev, 6) AS lev, round(far, 6) AS path_distance, CASE WHEN far = 0 THEN 'vector' ELSE 'graph' END AS source FROM r"""
+
+
+@_query(_hybrid_sql(1.0))
 def q27_hybrid_alpha1(spark, sf_dir):
-    return _hybrid(spark, sf_dir, 1.0, "vec_id % 9 <> 5")  # as its SQL has it
+    return _hybrid(spark, sf_dir, 1.0)
 
 
-@_query()
+@_query(_hybrid_sql(0.3))
 def q28_hybrid_full(spark, sf_dir):
     return _hybrid(spark, sf_dir, 0.3)
 
@@ -420,26 +443,34 @@ def q32_progress_fold(spark, sf_dir):
     return progress.fold(records).select("model", "status", "completed", "percent")
 
 
-@_query("""SELECT page_id, CAST(pos AS BIGINT) AS pos, target FROM (SELECT page_id, unnest(l) AS target, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"#?]+)', 1) AS l FROM pages))""")
+@_query("""WITH f AS (SELECT 'page/' || page_id || '.html' AS src, html FROM pages), t AS (SELECT src, unnest(list_concat(regexp_extract_all(html, '(?i)\\b(?:href|src|routerLink|templateUrl)\\s*=\\s*["'']([^"''#?]+)', 1), regexp_extract_all(html, '<([a-z]+-[\\w-]+)', 1))) AS dst FROM f)
+  SELECT DISTINCT src, dst, 'REFERENCES' AS edge_type, 0.7::DOUBLE AS weight FROM t""")
 def q33_page_reference_edges(spark, sf_dir):
-    links = F.regexp_extract_all("html", F.lit('href="([^"#?]+)'), F.lit(1))
-    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("pos", "target")).select("page_id", F.col("pos").cast("long").alias("pos"), "target")
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source"), F.col("html").alias("text"))
+    return graph.extract_edges(pages)
 
 
 @_query("""SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""")
 def q34_substring_theta_join(spark, sf_dir):
-    """Documents that contain a benchmark text: candidates by an equi-join on hashed word windows, then the substring test."""
-    k = 4
+    """Documents that contain a benchmark text: candidates by an equi-join on hashed word windows, then the substring test.
+
+    A needle's key is a window of its inner words, four at most: they are whole in the
+    document too. Keys are joined without texts, which are fetched for candidates alone. A
+    needle of one or two words has no whole word for certain and is looked for in every text.
+    """
     words = lambda t: F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    b = _table(spark, sf_dir, "benchmark").where("text is not null").withColumn("w", words(F.col("text")))
-    # A window from within a text, away from its cut ends, so its words are whole in the document too.
-    keyed = b.where(F.size("w") >= k + 2).select("item_id", F.col("text").alias("needle"), F.xxhash64(F.slice("w", 2, k)).alias("key"))
-    d = _table(spark, sf_dir, "documents").where("text is not null").withColumn("w", words(F.col("text")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k))))
-    long_ = d.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", "needle")).select("item_id", "doc_id")
-    short = b.where(F.size("w") < k + 2).select("item_id", F.col("text").alias("needle"))
-    few = d.select("doc_id", "text").join(short, F.contains("text", F.col("needle"))).select("item_id", "doc_id")
-    return long_.union(few).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    b = _table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("needle"), words(F.col("text")).alias("w"))
+    k = F.least(F.lit(4), F.size("w") - 2)
+    keyed = b.where(F.size("w") > 2).select("item_id", "needle", k.alias("k"), F.xxhash64(F.slice("w", F.lit(2), k)).alias("key"))
+    sizes = [r.k for r in keyed.select("k").distinct().collect()]  # four at most
+    d = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    none = F.array().cast("array<long>")
+    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))).otherwise(none)
+    own = d.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(none, *map(grams, sizes)))).alias("key"))
+    candidates = own.join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    found = d.join(candidates, "doc_id").join(keyed.select("item_id", "needle"), "item_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
+    few = d.join(F.broadcast(b.where(F.size("w") <= 2).select("item_id", "needle")), F.contains("text", F.col("needle"))).select("item_id", "doc_id")
+    return found.union(few).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @_query("""WITH x AS (SELECT doc_id, n_chars, n_chars * n_chars * n_chars AS n FROM documents)
@@ -449,3 +480,64 @@ def q35_scalar_helpers(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 3 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.col("doc_id").cast("string")))
     return d.select("doc_id", T.byte_size(F.col("n_chars") * F.col("n_chars") * F.col("n_chars")).alias("size"), T.safe_int(text, 7).alias("parsed"), F.size(T.listed(F.lit("a, b,, c ,"))).alias("n_listed"))
+
+
+def code(spark, sf_dir) -> DataFrame:
+    """source, file_hash, text: a small Python file for each document, with an import, a function, a class and a statement."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), F.coalesce(F.col("n_chars"), F.lit(0)).cast("string").alias("n"))
+    text = F.concat(F.lit("import os\n\n\ndef f"), "i", F.lit("(x):\n    return x + "), "n", F.lit("\n\n\n@cached\nclass C"), "i", F.lit(":\n    size = "), "n", F.lit("\n\n    def get(self):\n        return self.size\n\n\nVALUE = f"), "i", F.lit("("), "n", F.lit(")\n"))
+    return d.select(F.concat(F.lit("src/m"), "i", F.lit(".py")).alias("source"), F.sha2(text, 256).alias("file_hash"), text.alias("text"))
+
+
+@_query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS i, CAST(coalesce(n_chars, 0) AS VARCHAR) AS n FROM documents), c AS (
+  SELECT i, 0 AS chunk_index, 'function' AS kind, 'f' || i AS name, 4 AS start_line, 5 AS end_line, 'def f' || i || '(x):' || chr(10) || '    return x + ' || n || chr(10) AS chunk FROM d
+  UNION ALL SELECT i, 1, 'class', 'C' || i, 9, 13, 'class C' || i || ':' || chr(10) || '    size = ' || n || chr(10) || chr(10) || '    def get(self):' || chr(10) || '        return self.size' || chr(10) FROM d
+  UNION ALL SELECT i, 2, 'statement', NULL, 16, 16, 'VALUE = f' || i || '(' || n || ')' || chr(10) FROM d)
+  SELECT 'src/m' || i || '.py' AS source, chunk_index, kind, name, start_line, end_line, chunk FROM c""")
+def q36_syntax_chunks(spark, sf_dir):
+    return chunking.by_syntax(code(spark, sf_dir)).select("source", "chunk_index", "kind", "name", "start_line", "end_line", "chunk")
+
+
+@_query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS i, CAST(doc_id % 7 AS VARCHAR) AS b FROM documents)
+  SELECT 'src/D' || i || '.java' AS src, dst, kind AS edge_type, 1.0::DOUBLE AS weight FROM (
+    SELECT i, 'app.base.Base' || b AS dst, 'IMPORTS' AS kind FROM d UNION ALL SELECT i, 'Base' || b, 'INHERITS' FROM d UNION ALL SELECT i, 'Named', 'INHERITS' FROM d
+    UNION ALL SELECT i, 'Store', 'INVOKES' FROM d UNION ALL SELECT i, 'Log', 'INVOKES' FROM d UNION ALL SELECT i, 'Store', 'CONTAINS' FROM d)
+  UNION ALL SELECT 'src/d' || i || '.ts', 'lib/base' || b, 'IMPORTS', 1.0 FROM d UNION ALL SELECT 'src/d' || i || '.ts', 'Base' || b, 'INHERITS', 1.0 FROM d""")
+def q37_edge_plugins(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), (F.col("doc_id") % 7).cast("string").alias("b"))
+    java = F.concat(F.lit("import app.base.Base"), "b", F.lit(";\npublic class D"), "i", F.lit(" extends Base"), "b", F.lit(" implements Named {\n    private Store store = new Store();\n    void run() { Log.info(1); }\n}\n"))
+    ts = F.concat(F.lit("import { Base } from '../lib/base"), "b", F.lit("';\nexport class D"), "i", F.lit(" extends Base"), "b", F.lit(" {}\n"))
+    files = d.select(F.concat(F.lit("src/D"), "i", F.lit(".java")).alias("source"), java.alias("text")).union(d.select(F.concat(F.lit("src/d"), "i", F.lit(".ts")), ts))
+    return graph.extract_edges(files)
+
+
+_SWEEP = ([0.0, 0.3, 0.6, 1.0], [0.3, 0.6, 0.9])
+
+
+@_query(f"""WITH {_near("cosine", 100)}, f AS (SELECT n.query_id, n.id, n.source, 'file_' || q.label AS own, 1 - n.distance AS cos, CAST(n.id % 10 AS DOUBLE) / 10 AS lev, n.id % 4 AS far FROM near n JOIN embeddings q ON q.vec_id = n.query_id),
+  g AS (SELECT * FROM (SELECT unnest({_SWEEP[0]}::DOUBLE[]) AS alpha), (SELECT unnest({_SWEEP[1]}::DOUBLE[]) AS beta)),
+  s AS (SELECT alpha, beta, query_id, own, source, row_number() OVER (PARTITION BY alpha, beta, query_id ORDER BY round(CASE WHEN far = 0 THEN 1.0 ELSE pow(beta, far) END * (alpha * cos + (1 - alpha) * lev), 9) DESC, id) AS rank FROM f, g),
+  r AS (SELECT alpha, beta, query_id, max((source = own)::INT) AS r10 FROM s WHERE rank <= 10 GROUP BY ALL), m AS (SELECT alpha, beta, avg(r10) AS r10 FROM r GROUP BY ALL)
+  SELECT alpha, beta, round(r10, 6) AS r10, row_number() OVER (ORDER BY round(r10, 9) DESC, alpha, beta) = 1 AS best FROM m""")
+def q38_alpha_beta_sweep(spark, sf_dir):
+    far = retrieval._distances(vectors(spark, sf_dir), asks(spark, sf_dir, 100), "cosine")
+    truth = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("file_"), F.col("label").cast("string"))).alias("expected"))
+    found = far.select("query_id", F.col("id").alias("file_path"), "source", (1 - F.col("distance")).alias("cos_norm"), ((F.col("id") % 10) / 10.0).alias("lev"), (F.col("id") % 4).cast("double").alias("path_distance")).join(truth, "query_id")
+    return evaluate.sweep(found, *_SWEEP).select("alpha", "beta", _r("r10", "r10"), "best")
+
+
+@_query(f"WITH {_FILES} SELECT count(*) AS files, round(count(*) * 0.06 / 8, 6) AS fast_seconds, round(count(*) * 0.37 / 8, 6) AS syntax_seconds FROM files WHERE doc_id % 5 < 4")
+def q39_time_estimate(spark, sf_dir):
+    f = diagnostics.estimate(files(spark, sf_dir).where(T.indexable(F.col("source"))), workers=8)
+    return f.select("files", _r("fast_seconds", "fast_seconds"), _r("syntax_seconds", "syntax_seconds"))
+
+
+@_query("""WITH m AS (SELECT user_id AS stream_id, event_id AS seq, event_type || ' ' AS content, (event_id % 11 = 0) AS done FROM events),
+  o AS (SELECT *, coalesce(max(done::INT) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM m WHERE stream_id % 3 <> 0 OR seq <= 900)
+  SELECT stream_id, string_agg(content, '' ORDER BY seq) AS answer, CAST(count(*) AS BIGINT) AS tokens, bool_or(done) AS finished FROM o WHERE over = 0 GROUP BY stream_id""")
+def q40_token_streams(spark, sf_dir):
+    """Chat tokens up to the first that is done; every third stream is cancelled after token 900."""
+    e = _table(spark, sf_dir, "events")
+    messages = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" ")).alias("content"), (F.col("event_id") % 11 == 0).alias("done"))
+    stopped = e.where("user_id % 3 = 0").select(F.col("user_id").alias("stream_id")).distinct().withColumn("last_seq", F.lit(900))
+    return prompt.token_stream(messages, stopped)

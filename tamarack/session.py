@@ -58,6 +58,16 @@ def map_in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    A scan has a partition for each split that its files allow, which on large tables is
+    plenty; then nothing changes. A table of one row group would be worked on by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine."""
     return (
