@@ -1,8 +1,9 @@
 """Line dedup: drop lines that repeat an earlier line up to the edit of one word.
 
-Lines of ``MIN_WORDS`` words or more take part; ASCII case and spacing don't count. A line
-goes if an earlier line (by doc_id, then line number) is equal, or turns into it when one
-word is inserted, deleted or substituted. Of equal or near-equal lines the earliest stays.
+Lines with a word take part; ASCII case and spacing don't count. A line goes if an earlier
+line (by doc_id, then line number) is equal, or turns into it when one word is inserted,
+deleted or substituted and both have ``NEAR_WORDS`` words or more: one edit among five
+words leaves four fifths as they were. Of equal or near-equal lines the earliest stays.
 
 Near-equal lines are met in the deletion neighbourhood: a line emits, as hashed keys,
 itself and each variant with one word deleted. Two lines that differ by a deleted word
@@ -24,7 +25,10 @@ from ..session import map_in_arrow
 from . import common, textkit
 
 U = textkit.U
-MIN_WORDS = 5
+#: Least number of words of lines that are compared up to an edit; equal lines meet at any length.
+NEAR_WORDS = 5
+#: Tasks over which the lines near one earlier line are spread.
+SPREAD = 64
 _BASE = U(0xD6E8FEB86659FD93)
 _INVERSE = U(pow(int(_BASE), -1, 2**64))
 SELF, DELETED, REPLACED = 0, 1, 2
@@ -70,9 +74,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, line, h, halves: every line of MIN_WORDS words or more.
+    """doc_id, rid, line, h, halves: every line with a word.
 
-    h: hash of its words; halves: hashes of its first and last half; where the number of
+    h: hash of its words; halves: of lines with NEAR_WORDS words, hashes of the first and last half; where the number of
     words is odd, the middle word belongs to either, so lines of n and n + 1 words meet.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -82,13 +86,14 @@ def lines(docs: DataFrame) -> DataFrame:
             texts = textkit.as_bytes(batch.column(2))
             for a, b in textkit.chunks(texts):
                 x = _Lines(texts[a:b])
-                at = np.flatnonzero(x.n >= MIN_WORDS)
+                at = np.flatnonzero(x.n)
                 s, e, n = x.start[at], x.end[at], x.n[at]
                 halves = np.stack([x.keys(s, s + n // 2, 1), x.keys(s, s + (n - 1) // 2, 1), x.keys(e - (n + 1) // 2, e, 2), x.keys(e - n // 2, e, 2)], 1)
                 even = n % 2 == 0  # one of the four is there twice
                 use = np.ones(halves.shape, bool)
                 use[even, 3] = False
                 use[~even, 1] = False
+                use[n < NEAR_WORDS] = False
                 first = np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32)
                 take = pa.array(x.of[at] + a)
                 yield pa.record_batch(
@@ -148,48 +153,53 @@ def _without(words, place):
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, line: the lines to drop."""
+    """d_, r_, dropped_: of each document (doc_id, rid) that loses lines, their numbers in order."""
     all_ = common.written(lines(docs), "lines")
     first = common.written(all_.groupBy("h").agg(F.min(_position()).alias("pos")), "first")
     halves = all_.select("h", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    some = halves.join(common.beside(common.written(shared, "halves")), "half", "left_semi").select("h").distinct()
-    some = common.written(first.join(some, "h").select("pos.doc_id", "pos.rid", "pos.line"), "some")
-    of = common.beside(common.written(some.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("line")).alias("lines")), "some"), 200_000)
-    wanted = of.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "lines")
+    shared = common.written(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"), "halves")
+    some = halves.join(common.beside(shared), "half", "left_semi").select("h").distinct()
+    some = first.join(some, "h").select("pos.doc_id", "pos.rid", "pos.line").groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    some = common.written(some.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "lines"), "some")
     rows = _rows(docs)
-    there = rows.join(wanted, rows.doc_id.eqNullSafe(F.col("d")) & (rows.rid == F.col("r")))
+    there = rows.join(common.beside(some), rows.doc_id.eqNullSafe(F.col("d")) & (rows.rid == F.col("r")))
     near = common.written(variants(there), "variants")
-    groups = near.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    met = common.written(near.join(common.beside(common.written(groups, "keys")), "key", "left_semi").select("key", "kind", "place", "h").join(first, "h"), "met")
+    groups = common.written(near.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "keys")
+    met = common.written(near.join(common.beside(groups), "key", "left_semi").select("key", "kind", "place", "h").join(first, "h"), "met")
     who = F.struct("pos", "h", "place")
     least = met.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, who)).alias(f"least{k}") for k in (SELF, DELETED, REPLACED)))
     other = F.when(F.col("kind") == SELF, F.col(f"least{DELETED}")).when(F.col("kind") == DELETED, F.col(f"least{SELF}")).otherwise(F.col(f"least{REPLACED}"))
-    found = met.join(common.written(least, "least"), "key").withColumn("o", other).where("o.h <> h and o.pos < pos")
-    found = common.written(found.select("h", "kind", "place", F.col("o.h").alias("oh"), F.col("o.place").alias("oplace")).distinct(), "found")
+    found = met.join(least, "key").withColumn("o", other).where("o.h <> h and o.pos < pos")
+    found = found.select("h", "kind", "place", F.col("o.h").alias("oh"), F.col("o.place").alias("oplace"), F.pmod(F.xxhash64("h"), F.lit(SPREAD)).alias("salt")).distinct()
+    found = common.written(found, "found")
     text = near.where(F.col("kind") == SELF).select("h", _words("text").alias("w")).dropDuplicates(["h"])
-    checked = found.join(text, "h").join(text.select(F.col("h").alias("oh"), F.col("w").alias("ow")), "oh")
+    # An earlier line may have any number of others near it: its words go to SPREAD places at most, and meet a part of them in each.
+    its_words = found.select("oh", "salt").distinct().join(text.select(F.col("h").alias("oh"), F.col("w").alias("ow")), "oh")
+    checked = found.join(text, "h").join(its_words, ["oh", "salt"])
     mine = F.when(F.col("kind") == SELF, F.col("w")).otherwise(_without(F.col("w"), F.col("place")))
     its = F.when(F.col("kind") == DELETED, F.col("ow")).otherwise(_without(F.col("ow"), F.col("oplace")))
     same = (mine == its) & ((F.col("kind") != REPLACED) | (F.col("place") == F.col("oplace")))
     late = checked.where(same).select("h").distinct().withColumn("late", F.lit(True))
-    info = common.written(first.join(late, "h", "left"), "lineinfo")
-    return all_.select("doc_id", "rid", "line", "h").join(info, "h").where(F.col("late") | (_position() != F.col("pos"))).select("doc_id", "rid", "line")
+    info = common.written(first.join(late, "h", "left"), "lineinfo")  # a join of its own, so that a line that is everywhere can be split
+    gone = all_.select("doc_id", "rid", "line", "h").join(info, "h").where(F.col("late") | (_position() != F.col("pos"))).select("doc_id", "rid", "line")
+    gone = common.written(gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("line")).alias("dropped")).select(F.col("doc_id").alias("d_"), F.col("rid").alias("r_"), F.col("dropped").alias("dropped_")), "dropped")
+    common.drop(all_, first, shared, some, near, groups, met, found, info)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped for every row of docs (doc_id, text).
 
     dropped: the numbers (from 0, ascending) of the lines that go. A null text is empty; an
-    empty text is one empty line. Lines of under MIN_WORDS words stay. Rows with the same
+    empty text is one empty line; lines without words stay. Lines and texts of any length are
+    whole in one row. Rows with the same
     doc_id and text are one occurrence and lose the same lines; a null doc_id ranks last.
     Other columns are left alone; an empty table gives no rows.
     """
-    gone = repeated(docs).groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    gone = common.written(gone.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "dropped"), "dropped")
+    gone = repeated(docs)
     rows = _rows(docs).select("doc_id", "rid", F.size(F.split("text", "\n", -1)).alias("n_lines"))
-    out = rows.join(gone, rows.doc_id.eqNullSafe(gone.d) & (rows.rid == gone.r), "left")
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    out = rows.join(gone, rows.doc_id.eqNullSafe(gone.d_) & (rows.rid == gone.r_), "left")
+    dropped = F.coalesce("dropped_", F.array().cast("array<int>"))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
 
 
@@ -198,15 +208,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     All columns stay; n_chars, if there, is counted anew for a text that changed.
     """
-    gone = repeated(docs).groupBy("doc_id", "rid").agg(F.collect_set("line").alias("dropped_"))
-    gone = common.written(gone.select(F.col("doc_id").alias("d_"), F.col("rid").alias("r_"), "dropped_"), "dropped")
-    both = docs.join(gone, docs.doc_id.eqNullSafe(F.col("d_")) & (F.xxhash64(docs.text) == F.col("r_")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("dropped_", i))
-    new = F.when(F.col("dropped_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    both = both.withColumn("new_", new).where(F.col("dropped_").isNull() | F.col("new_").rlike(r"[^\x20\x09-\x0D]"))
-    out = [F.col("new_").alias("text") if c == "text" else docs[c] for c in docs.columns]
+    gone = repeated(docs)
+    both = docs.join(gone, docs.doc_id.eqNullSafe(gone["d_"]) & (F.xxhash64(docs["text"]) == gone["r_"]), "left")
+    dropped, text = gone["dropped_"], docs["text"]
+    new = F.when(dropped.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(dropped, i)), "\n"))
+    both = both.where(dropped.isNull() | new.rlike(r"[^\x20\x09-\x0D]"))
+    out = [new.alias("text") if c == "text" else docs[c] for c in docs.columns]
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("dropped_").isNull(), docs["n_chars"]).otherwise(F.length("new_").cast(docs.schema["n_chars"].dataType))
+        changed = F.when(dropped.isNull(), docs["n_chars"]).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
         out = [changed.alias("n_chars") if c == "n_chars" else x for c, x in zip(docs.columns, out, strict=True)]
     return both.select(*out)
 

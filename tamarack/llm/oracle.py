@@ -19,12 +19,12 @@ NEAR_DEDUP = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words("coalesce(text, '')
 
 LINE_DEDUP = f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
   o AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS x FROM t),
-  l AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS k, row_number() OVER (ORDER BY doc_id, line) AS pos FROM (SELECT doc_id, line, {_words("x")} AS w FROM o) WHERE len(w) >= 5),
+  l AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS k, row_number() OVER (ORDER BY doc_id, line) AS pos FROM (SELECT doc_id, line, {_words("x")} AS w FROM o) WHERE len(w) > 0),
   u AS (SELECT k, min(pos) AS pos, any_value(w) AS w, len(any_value(w)) AS n FROM l GROUP BY k),
-  d AS (SELECT k, pos, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u)),
+  d AS (SELECT k, pos, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 5)),
   late AS (SELECT a.k FROM d a JOIN d b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND b.pos < a.pos
-    UNION SELECT a.k FROM d a JOIN u b ON a.v = b.k AND b.pos < a.pos
-    UNION SELECT b.k FROM u b JOIN d a ON a.v = b.k AND a.pos < b.pos),
+    UNION SELECT a.k FROM d a JOIN u b ON a.v = b.k AND b.n >= 5 AND b.pos < a.pos
+    UNION SELECT b.k FROM u b JOIN d a ON a.v = b.k AND b.n >= 5 AND a.pos < b.pos),
   g AS (SELECT l.doc_id, l.line FROM l JOIN u ON l.k = u.k WHERE l.pos <> u.pos OR l.k IN (SELECT k FROM late)),
   j AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM g GROUP BY doc_id)
   SELECT t.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(j.n, 0) AS n_dropped, coalesce(j.lines, '') AS dropped FROM t LEFT JOIN j ON j.doc_id = t.doc_id"""

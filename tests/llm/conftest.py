@@ -11,7 +11,7 @@ def documents(spark):
         rows = list(rows.items()) if isinstance(rows, dict) else list(rows)
         df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], FIELDS)
         if extra:
-            for name in ("rid", "line", "h", "label", "id", "a", "band", "score", "rank", "sequence_id", "kept", "row", "words", "spans"):
+            for name in ("rid", "line", "h", "label", "id", "a", "band", "score", "rank", "sequence_id", "kept", "row", "words", "spans", "d_", "r_", "dropped_", "new_", "y", "bits", "lx", "salt"):
                 df = df.selectExpr("*", f"'x' as {name}")
         return df
 
