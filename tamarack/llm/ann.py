@@ -8,13 +8,14 @@ into several cells a table, in the order of how near their axes are; what is fou
 is ranked by the exact inner product.
 
 A cell's vectors and queries meet in blocks of bounded size, so a crowded cell is spread
-over many tasks. Equal vectors are folded into one before they are hashed. A query that
-finds too few neighbours is compared with all vectors, also in blocks.
-
-How many cells a query looks into follows from the table: ``SAMPLE`` queries are compared
-with all vectors, and the number of cells a table grows from ``PROBES`` until the share of
-their true neighbours that lie in those cells is ``RECALL``. Where ``MOST_PROBES`` don't
-reach it, every query is compared with all vectors.
+over many tasks. Equal vectors are folded into one before they are hashed, and each is
+hashed once. A query that finds too few neighbours is compared with all vectors, also in
+blocks.
+
+How large cells are and how many a query looks into follows from the table: ``SAMPLE``
+queries are compared with all vectors; their true neighbours (a bounded number) show which
+share of them any choice finds. Of the choices that find ``RECALL``, the one that compares
+the fewest vectors is taken; the last choice is one cell that holds all.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ from ..session import map_in_arrow, ship
 from . import common
 
 TABLES = 12
-PROBES = 24
-PER_CELL = 128
+#: Vectors in a cell, at least about.
+PER_CELL = 64
 BLOCK, QUERY_BLOCK = 1024, 512
 #: Queries compared with all vectors; the recall asked of them is 0.9 and two standard errors.
 SAMPLE, RECALL = 200, 0.92
-MOST_PROBES = 192
+#: Cells of a table that a query looks into, at most.
+MOST_PROBES = 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -81,7 +83,10 @@ def cells(x: np.ndarray, table: int, bits: int, probes: int) -> np.ndarray:
         far = (signed.max(1, keepdims=True) - np.take_along_axis(signed, near, 1)) ** 2
         both = (cost[:, :, None] + far[:, None, :]).reshape(len(x), -1)
         code = (best[:, :, None] * size + near[:, None, :]).reshape(len(x), -1)
-        keep = np.argsort(both, 1, kind="stable")[:, :probes]
+        if both.shape[1] > probes:  # the nearest, ties to the first
+            keep = np.sort(np.argpartition(both, probes - 1, 1)[:, :probes], 1)
+            code, both = np.take_along_axis(code, keep, 1), np.take_along_axis(both, keep, 1)
+        keep = np.argsort(both, 1, kind="stable")
         best, cost = np.take_along_axis(code, keep, 1), np.take_along_axis(both, keep, 1)
     return best
 
@@ -114,67 +119,76 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def _hashed(classes: DataFrame, longest: float, bits: int, tables: int, probes: int, query: bool) -> DataFrame:
-    """cell, id, vector: each vector once for each of its cells."""
+    """id, vector, cells: each vector with its cells in all tables, written once."""
+    vector = classes.schema["vector"].dataType.simpleString()
 
     def make(batches):
         for batch in batches:
-            step = min(1000, max(16, 1000 * PROBES**2 // probes**2))
+            step = min(1000, max(8, 500_000 // probes**2))
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 x = lifted(_matrix(part.column(1)), longest, query)
                 every = np.concatenate([cells(x, t, bits, probes) * tables + t for t in range(tables)], 1)
-                row = pa.array(np.repeat(np.arange(len(x)), every.shape[1]))
-                yield pa.record_batch([pa.array(every.ravel()), part.column(0).take(row), part.column(1).take(row)], ["cell", "id", "vector"])
+                lists = pa.ListArray.from_arrays(np.arange(0, every.size + 1, every.shape[1], dtype=np.int32), pa.array(every.ravel()))
+                yield pa.record_batch([part.column(0), part.column(1), lists], ["id", "vector", "cells"])
 
-    return map_in_arrow(classes.select("id", "vector"), make, f"cell long, id {classes.schema['id'].dataType.simpleString()}, vector array<double>")
+    return common.written(map_in_arrow(classes.select("id", "vector"), make, f"id {classes.schema['id'].dataType.simpleString()}, vector {vector}, cells array<long>"), "cells")
 
 
 def _blocks(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """q, id, score: for each query and block, the k best of the block."""
+    """q, id, score: for each query and block, the k best of the block. queries, data: id, vector, cells."""
     ship(queries.sparkSession)
-    many = data.groupBy("cell").agg(F.count("*").alias("n"))
-    asked = queries.groupBy("cell").agg(F.count("*").alias("m"))
-    plan = many.join(asked, "cell").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("m") / QUERY_BLOCK).alias("parts"))
-    plan = common.written(plan, "cells")
-    up_to = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
-    left = queries.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), up_to("blocks").alias("block"), "id", "vector")
-    right = data.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), up_to("parts").alias("part"), "id", "vector")
+    sizes = lambda df, name: df.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias(name))
+    crowded = sizes(data, "n").join(sizes(queries, "m"), "cell").where((F.col("n") > BLOCK) | (F.col("m") > QUERY_BLOCK))
+    crowded = common.written(crowded.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("parts")), "crowded")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    up_to = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+
+    def dealt(df, own, own_n, other, other_n):
+        each = df.select(F.explode("cells").alias("cell"), "id", "vector").join(common.beside(crowded), "cell", "left")
+        return each.select("cell", F.pmod(F.xxhash64("id"), one(own_n)).cast("int").alias(own), up_to(other_n).alias(other), "id", "vector")
+
+    left, right = dealt(queries, "part", "parts", "block", "blocks"), dealt(data, "block", "blocks", "part", "parts")
 
     def best(key, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"q": a["id"].slice(0, 0), "id": b["id"].slice(0, 0), "score": pa.array([], pa.float64())})
         ids = b["id"].combine_chunks()
-        scores = _matrix(a["vector"].combine_chunks()) @ _matrix(b["vector"].combine_chunks()).T
+        x, y = _matrix(a["vector"].combine_chunks()), _matrix(b["vector"].combine_chunks())
+        scores = x @ y.T
         take = min(k, scores.shape[1])
         # Whatever ties with the last place stays, so ties can be settled by id later.
         last = -np.partition(-scores, take - 1, 1)[:, take - 1]
         row, column = np.nonzero(scores >= last[:, None] - 1e-12 * np.abs(last[:, None]))
-        return pa.table({"q": a["id"].combine_chunks().take(pa.array(row)), "id": ids.take(pa.array(column)), "score": pa.array(scores[row, column])})
+        return pa.table({"q": a["id"].combine_chunks().take(pa.array(row)), "id": ids.take(pa.array(column)), "score": pa.array(_products(x, y, row, column))})
 
     kind = data.schema["id"].dataType.simpleString()
     keys = ["cell", "block", "part"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"q {kind}, id {kind}, score double")
 
 
+def _products(x: np.ndarray, y: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, each summed in the same order whatever block it is in."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), step := max(1, (1 << 22) // max(1, x.shape[1]))):
+        out[i : i + step] = np.multiply(x[row[i : i + step]], y[column[i : i + step]]).sum(1)
+    return out
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     one = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     return one.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k).drop("n")
 
 
-def probes_needed(asked: DataFrame, folded: DataFrame, longest: float, bits: int, tables: int, probes: int, k: int) -> int | None:
-    """The least number of probes, from the given one, that finds RECALL of a sample's k nearest; None if MOST_PROBES don't.
+def neighbours(asked: DataFrame, folded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sample of queries (vectors), the vectors of their k nearest, and whose each of these is.
 
-    The sample goes to the vectors, which aren't shuffled. A neighbour counts from the
-    first place at which a query looks into a cell that holds it.
+    The sample, of SAMPLE rows, goes to the vectors, which aren't shuffled; k of them a query come back.
     """
     ship(asked.sparkSession)
     some = asked.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    if not len(some):
-        return probes
     ids, matrix = some["id"].combine_chunks(), _matrix(some["vector"].combine_chunks())
-    most = max(probes, min(MOST_PROBES, 1 << bits))
-    rows = np.array_split(lifted(matrix, longest, True), -(-len(matrix) // 16))
-    looks = [np.concatenate([cells(x, t, bits, most) for x in rows]) for t in range(tables)]
+    number = {x: i for i, x in enumerate(ids.to_pylist())}
 
     def near(batches):
         for batch in batches:
@@ -184,61 +198,77 @@ def probes_needed(asked: DataFrame, folded: DataFrame, longest: float, bits: int
             scores = matrix @ x.T
             take = min(k + 1, len(x))
             best = np.argpartition(-scores, take - 1, 1)[:, :take]
-            used, of = np.unique(best, return_inverse=True)
-            of = of.reshape(best.shape)
-            place = np.full(best.shape, most)
-            up = lifted(x[used], longest, False)
-            for t in range(tables):
-                cell = cells(up, t, bits, 1)[:, 0][of]
-                for q in range(len(place)):
-                    same = looks[t][q][:, None] == cell[q]
-                    place[q] = np.minimum(place[q], np.where(same.any(0), same.argmax(0), most))
             row, column = np.repeat(np.arange(len(best)), take), pa.array(best.ravel())
-            yield pa.record_batch([ids.take(pa.array(row)), batch.column(0).take(column), pa.array(scores[row, best.ravel()]), pa.array(place.ravel())], ["q", "id", "score", "place"])
+            yield pa.record_batch([ids.take(pa.array(row)), batch.column(0).take(column), pa.array(scores[row, best.ravel()]), batch.column(1).take(column)], ["q", "id", "score", "vector"])
 
-    kind = folded.schema["id"].dataType.simpleString()
-    found = map_in_arrow(folded.select("id", "vector"), near, f"q {kind}, id {kind}, score double, place long").where("id <> q")
+    kind, vector = folded.schema["id"].dataType.simpleString(), folded.schema["vector"].dataType.simpleString()
+    found = map_in_arrow(folded.select("id", "vector"), near, f"q {kind}, id {kind}, score double, vector {vector}").where("id <> q")
     found = found.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k)
-    places = found.groupBy("place").count().collect()  # at most MOST_PROBES + 1 rows
-    total = sum(r["count"] for r in places)
-    for p in range(probes, most + 1):
-        if sum(r["count"] for r in places if r.place < p) >= RECALL * total:
-            return p
-    return None
+    got = found.select("q", "vector").toArrow()
+    return matrix, _matrix(got["vector"].combine_chunks()), np.array([number[x] for x in got["q"].to_pylist()], int)
+
 
+def tuned(queries: np.ndarray, found: np.ndarray, of: np.ndarray, longest: float, n: int, tables: int = TABLES, per_cell: int = PER_CELL) -> tuple[int, int]:
+    """(bits, probes): of cells and of looks into them, with which RECALL of the neighbours found is met, and the fewest vectors are compared.
 
-def search(vectors: DataFrame, query=None, k: int = 20, tables: int = TABLES, probes: int = PROBES, per_cell: int = PER_CELL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    bits 0: one cell that holds all.
+    """
+    best, cost = (0, 1), float(n)
+    if not len(found):
+        return best
+    top = max(0, math.ceil(math.log2(n / per_cell)))
+    up, low = lifted(queries, longest, True), lifted(found, longest, False)
+    for bits in range(top, max(1, top - 8) - 1, -1):
+        most = min(MOST_PROBES, 1 << bits, int(cost * 2.0**bits / n / tables))  # with more, it costs more than what is there
+        if most < 1:
+            continue
+        place = np.full(len(low), most)
+        for t in range(tables):
+            looks = np.concatenate([cells(up[i : i + 16], t, bits, most) for i in range(0, len(up), 16)])
+            same = looks[of] == cells(low, t, bits, 1)
+            place = np.minimum(place, np.where(same.any(1), same.argmax(1), most))
+        probes = int(np.sort(place)[math.ceil(RECALL * len(place)) - 1]) + 1
+        if probes <= most and tables * probes * n / 2.0**bits < cost:
+            best, cost = (bits, probes), tables * probes * n / 2.0**bits
+    return best
+
+
+def search(vectors: DataFrame, query=None, k: int = 20, tables: int = TABLES, per_cell: int = PER_CELL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, itself not counted.
 
     query: a condition on vectors that picks the queries; by default ids divisible by 20.
     Vectors that are null, zero, hold a null or non-finite component, or have another
-    dimension than most take no part; nor do rows without an id. probes is the least number
-    of cells looked into; probes_needed() raises it. Rows that share an id and
-    a vector count once. Ties go to the smaller id. Other columns are left alone.
+    dimension than most take no part; nor do rows without an id. tuned() chooses cells and
+    probes; per_cell is the least number of vectors a cell has, about. Rows that share an id
+    and a vector count once. Ties go to the smaller id. Other columns are left alone; an
+    empty table gives no rows.
     """
     kind = vectors.schema[id_column].dataType.simpleString()
     asks = query if query is not None else F.pmod(F.col(id_column), F.lit(20)) == 0
-    rows = usable(vectors.where(F.col(id_column).isNotNull()), column).select(F.col(id_column).alias("vec_id"), F.col(column).cast("array<double>").alias("vector"), asks.alias("asks")).distinct()
+    own = vectors.schema[column].dataType.simpleString()
+    vector = F.col(column) if own in ("array<float>", "array<double>") else F.col(column).cast("array<double>")
+    rows = usable(vectors.where(F.col(id_column).isNotNull()), column).select(F.col(id_column).alias("vec_id"), vector.alias("vector"), asks.alias("asks")).distinct()
     rows = common.written(rows, "vectors")
     folded = rows.groupBy("vector").agg(F.min("vec_id").alias("id"), F.max("asks").alias("asks"))
-    folded = common.written(folded, "folded")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    folded = common.written(folded.select("vector", "id", "asks", length.alias("length")), "folded", n=F.count(F.lit(1)), longest=F.max("length"))
+    n, longest = folded.counts["n"], folded.counts["longest"]
+    if not n:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
     order = W.partitionBy("vector").orderBy("vec_id")
     some = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     members = common.written(some.join(folded.select("vector", "id"), "vector").select("id", "vec_id"), "members")
-    facts = folded.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
-    if not facts.n:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    bits = max(0, math.ceil(math.log2(facts.n / per_cell)))
     asked = folded.where("asks")
-    hashed = lambda df, bits, tables, probes, query: _hashed(df, facts.longest, bits, tables, probes, query)
-    probes = probes_needed(asked, folded, facts.longest, bits, tables, probes, k) if bits else None
-    if probes is None:
-        bits, tables, probes = 0, 1, 1
-    found = common.written(_top(_blocks(hashed(asked, bits, tables, probes, True), hashed(folded, bits, tables, 1, False), k + 1), k + 1), "found")
-    short = asked.join(found.groupBy("q").count().where(F.col("count") >= min(k + 1, facts.n)).select(F.col("q").alias("id")), "id", "left_anti")
-    short = common.written(short, "short")
-    if bits and not short.isEmpty():
+    bits, probes = tuned(*neighbours(asked, folded, k), longest, n, tables, per_cell) if n > 2 * per_cell else (0, 1)
+    if not bits:
+        tables = 1
+    hashed = lambda df, bits, tables, probes, query: _hashed(df, longest, bits, tables, probes, query)
+    data = hashed(folded, bits, tables, 1, False)
+    found = common.written(_top(_blocks(hashed(asked, bits, tables, probes, True), data, k + 1), k + 1), "found")
+    short = asked.join(found.groupBy("q").count().where(F.col("count") >= min(k + 1, n)).select(F.col("q").alias("id")), "id", "left_anti")
+    short = common.written(short, "short", n=F.count(F.lit(1)))
+    if bits and short.counts["n"]:
         all_ = common.written(_top(_blocks(hashed(short, 0, 1, 1, True), hashed(folded, 0, 1, 1, False), k + 1), k + 1), "found")
         found = found.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(all_)
     queries = rows.where("asks").join(folded.select("vector", F.col("id").alias("q")), "vector").select("q", F.col("vec_id").alias("query_id"))

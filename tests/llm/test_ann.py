@@ -56,10 +56,11 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.vec_id) for r in twice] == [(0, 3)]
 
 
-def test_short_answers_are_searched_in_full(spark):
+def test_short_answers_are_searched_in_full(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(600, 16))
-    out = ann.search(table(spark, x), tables=1, probes=1, per_cell=5).collect()
+    monkeypatch.setattr(ann, "tuned", lambda *_: (7, 1))  # cells of five vectors, and one look
+    out = ann.search(table(spark, x), tables=1, per_cell=5).collect()
     assert all(sum(r.query_id == q for r in out) == 20 for q in range(0, 600, 20))
 
 
@@ -68,16 +69,46 @@ def test_rotation_keeps_lengths():
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
 
 
-def test_probes_grow_until_recall_is_reached(spark, monkeypatch):
+def test_cells_and_probes_follow_the_measured_recall(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(1500, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
 
     def recall():
         by = {}
-        for r in ann.search(table(spark, x), tables=4, probes=2, per_cell=10).collect():
+        for r in ann.search(table(spark, x), tables=4, per_cell=10).collect():
             by.setdefault(r.query_id, set()).add(r.vec_id)
         return sum(len(by[q] & {i for _, i in exact(x, q)}) for q in range(0, 1500, 20)) / (75 * 20)
 
     assert recall() >= 0.9
-    monkeypatch.setattr(ann, "MOST_PROBES", 3)  # too few: everything is compared
+    monkeypatch.setattr(ann, "MOST_PROBES", 0)  # no choice is left: everything is compared
     assert recall() == 1
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_tuned_choices_hold_for_other_queries(n):
+    """Uniform unit vectors, the hardest case: recall at sizes that a test can afford, without Spark."""
+    x = np.random.default_rng(n).normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def nearest(q):
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -9
+        return np.argpartition(-s, 20, 1)[:, :20]
+
+    q, other = np.arange(200), np.arange(1000, 1060)
+    bits, probes = ann.tuned(x[q], x[nearest(q).ravel()], np.repeat(q, 20), 1.0, n)
+    assert bits > 0
+    want, looks = nearest(other), [ann.cells(ann.lifted(x[other], 1.0, True), t, bits, probes) for t in range(ann.TABLES)]
+    hit = np.zeros(want.shape, bool)
+    for t, look in enumerate(looks):
+        cell = ann.cells(ann.lifted(x[want.ravel()], 1.0, False), t, bits, 1).reshape(want.shape)
+        hit |= (look[:, None, :] == cell[:, :, None]).any(2)
+    assert hit.mean() >= 0.88  # 0.9, less the error of 60 queries
+
+
+def test_products_do_not_depend_on_the_block():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(40, 48)), rng.normal(size=(300, 48))
+    row, column = np.repeat(np.arange(40), 300), np.tile(np.arange(300), 40)
+    every = ann._products(x, y, row, column)
+    assert all(ann._products(x[i : i + 1], y[j : j + 7], np.zeros(1, int), np.array([3]))[0] == every[i * 300 + j + 3] for i in range(0, 40, 7) for j in range(0, 290, 13))
