@@ -118,18 +118,43 @@ _SPANS = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """start, kind, end (code points, end exclusive) and a group's text of each match, in order."""
-    whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("match"), inner.alias("group")), lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["match"]).alias("match"), z["group"].alias("group")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    """start, kind, end (code points, end exclusive) and a group's text of each match, in order.
+
+    Matches and the gaps between them are cut out side by side. Each match's place is the
+    sum of what is before it: sums are taken in runs of RUN_SUMS, then over runs, so the
+    work on a text with n matches grows with n * sqrt(n) at most, on numbers alone.
+    """
+    parts = F.arrays_zip(
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("match"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group"),
+    )
+
+    def placed(z: Column) -> Column:
+        n = F.size(z) - 1  # the last gap has no match
+        total = lambda a, b: F.aggregate(F.slice(z, a + 1, b - a), F.lit(0), lambda s, x: s + x["gap"] + x["match"])  # noqa: E731  of the parts from a to before b
+        runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN_SUMS).cast("int")), lambda r: total(r * RUN_SUMS, F.least((r + 1) * RUN_SUMS, n)))
+
+        def one(sums: Column) -> Column:
+            def place(i: Column) -> Column:
+                r = F.floor(i / RUN_SUMS).cast("int")
+                start = F.aggregate(F.slice(sums, F.lit(1), r), F.lit(0), lambda s, x: s + x) + total(r * RUN_SUMS, i) + F.get(z, i)["gap"]
+                return _named(start, lambda at: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.get(z, i)["match"]).alias("end"), F.get(z, i)["group"].alias("text")))
+
+            return F.transform(F.sequence(F.lit(0), n - 1), place)
+
+        return _named(runs, one)
+
+    return F.when(text.rlike(pattern), _named(parts, placed)).otherwise(F.array().cast(_SPANS))
+
+
+#: Matches whose lengths are summed together.
+RUN_SUMS = 64
 
-    def step(acc, z):
-        start = acc["at"] + z["gap"]
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + z["match"]).alias("end"), z["group"].alias("text")))
-        return F.struct((start + z["match"]).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    found = F.aggregate(F.filter(parts, lambda z: z["match"].isNotNull()), zero, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+def _named(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,8 +175,10 @@ def scan(docs: DataFrame) -> DataFrame:
         spans(text, RUN, 3).alias("r"),
     )
     base = found.select("doc_id", *(F.size(c).cast("long").alias(f"n_{n}") for c, n in zip("akh", KINDS, strict=False)), F.concat("a", "k", "h").alias("base"), "r")
-    secret = lambda z: F.when(F.exists("base", lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"])), False).otherwise((score(z["text"]) >= LEAST) & (score(z["text"]) >= LEAST_EACH * (F.length(z["text"]) - 1)))
-    more = base.withColumn("r", F.when(F.size("r") > 0, F.filter("r", secret)).otherwise(F.col("r")))
+    # A run's score is needed first; few runs are secrets, so few are compared with the base's matches.
+    high = lambda z: _named(score(z["text"]), lambda s: (s >= LEAST) & (s >= LEAST_EACH * (F.length(z["text"]) - 1)))
+    apart = lambda z: ~F.exists("base", lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"]))
+    more = base.withColumn("r", F.when(F.size("r") > 0, F.filter("r", lambda z: high(z) & apart(z))).otherwise(F.col("r")))
     names = F.array(*map(F.lit, KINDS))
 
     def said(column: Column) -> Column:

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from tamarack.llm import licenses
@@ -34,6 +36,42 @@ def test_containment_against_brute_force(documents):
     assert got == {i for i, t in rows if len(grams & set(licenses._grams(t.split()))) >= licenses.CONTAINED * len(grams)}
 
 
+def plain(text):
+    """{license: largest containment in a window}, by looking at every window of every template."""
+    out, words = {}, licenses._split(text or "")
+    for name, texts in licenses.TEMPLATES.items():
+        for t in map(licenses._split, texts):
+            width = math.ceil(1.25 * len(t))
+            grams, k = set(licenses._grams(t)), min(licenses.SHINGLE, len(t))
+            for at in range(0, max(len(words) - len(t), 0) + 1, width - len(t) + 1):
+                part = words[at : at + width]
+                own = {" ".join(part[i : i + k]) for i in range(len(part) - k + 1)}
+                share = len(own & grams) / len(grams)
+                if share >= licenses.CONTAINED:
+                    out[name] = max(out.get(name, 0), share)
+    return out
+
+
+def test_all_templates_against_all_windows(documents):
+    """Templates with words dropped, changed and put in between other words."""
+    rng = random.Random(3)
+    rows = []
+    for name in licenses.TEMPLATES:
+        for t in licenses.TEMPLATES[name]:
+            for _ in range(8):
+                words = t.split()
+                for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                    i = rng.randrange(len(words))
+                    words[i : i + rng.randint(0, 1)] = [rng.choice(["license", "the", "other"])]
+                fill = lambda: [rng.choice("the software of any license is under this and rights".split()) for _ in range(rng.randint(0, 12))]
+                rows.append((len(rows), " ".join(fill() + words + fill())))
+    got = {}
+    for r in licenses.scan(documents(rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    want = {i: p for i, t in rows if (p := plain(t))}
+    assert len(want) > 100 and got == want
+
+
 def test_plan_has_no_python_and_empty_table(documents):
     plan = licenses.scan(documents([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -61,3 +61,23 @@ def test_pack(documents):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_padding_is_little():
+    """Lengths as texts have them: few positions stay empty, but for the last sequences."""
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(np.exp(rng.normal(5.5, 1.2, 200_000)).astype(int) + 1, 2048)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    packed = packing.patterns(histogram)
+    assert sum(n for n, _ in packed) <= 1.001 * lengths.sum() / 2048 + 1
+
+
+def test_pieces_of_a_common_length_are_dealt_over_salts(documents):
+    rows = [(i, "same words here") for i in range(500)] + [(1000 + i, "word " * i) for i in range(60)]
+    out = packing.pack(documents(rows), salted=40).collect()
+    assert len(out) == len(rows) and len({(r.sequence_id, r.offset) for r in out}) == len(rows)
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for p, n in parts if p < o) for parts in sequences.values() for o, _ in parts)
+    assert len(sequences) == -(-sum(r.length for r in out) // 2048)
