@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -38,12 +38,17 @@ class Index:
     def list(spark: SparkSession, base: str) -> list[str]:
         return collections(spark, base)
 
-    def sync(self, root: str, full: bool = False, syntax: bool = True, extensions=None, excluded=None) -> dict[str, int]:
-        """Bring the collection up to the tree's state; counts by action. Nothing is written if nothing changed."""
-        return self.sync_files(tree.with_text(tree.scan(self.spark, root, extensions, excluded, self.config.max_file_bytes)), full, syntax)
+    def sync(self, root: str, full: bool = False, syntax: bool = True, extensions=None, excluded=None, on_progress=None) -> dict[str, int]:
+        """Bring the collection up to the tree's state; counts by action. Nothing is written if nothing changed.
 
-    def sync_files(self, files: DataFrame, full: bool = False, syntax: bool = True) -> dict[str, int]:
+        on_progress(done, total) is called with numbers of files: before they are indexed
+        and after; what it raises stops the run, before anything is written or after all is.
+        """
+        return self.sync_files(tree.with_text(tree.scan(self.spark, root, extensions, excluded, self.config.max_file_bytes)), full, syntax, on_progress)
+
+    def sync_files(self, files: DataFrame, full: bool = False, syntax: bool = True, on_progress=None) -> dict[str, int]:
         """The same from files (source, file_hash, text)."""
+        said = on_progress or (lambda done, total: None)
         indexed = self.collection.read("files")
         if full:
             indexed = indexed.limit(0)
@@ -52,9 +57,13 @@ class Index:
         log.info("changes: %s", counts)
         if counts["add"] + counts["update"] + counts["delete"] == 0 and self.collection.exists():
             return counts
+        total = counts["add"] + counts["update"]
+        said(0, total)
         changed = classified.where(F.col("action").isin("add", "update")).select("source")
         todo = files.join(changed, "source", "left_semi")
         fresh = self.embedder.add(chunking.records(todo, self.config, syntax), "document", "embedding")
+        watch = Observation()
+        fresh = fresh.observe(watch, F.count(F.lit(1)).alias("chunks"))  # counted as they are written
         old = self.collection.read("chunks").limit(0) if full else self.collection.read("chunks")
         chunks = sync.merge(old, classified, fresh)
         # The manifest also lists files without chunks, so that they aren't processed again.
@@ -66,6 +75,8 @@ class Index:
 
         self.collection.commit({"chunks": chunks, "files": manifest}, {"dim": self.embedder.dimensions, "embed_model": self.config.embed_model})
         classified.unpersist()
+        log.info("%d files gave %s chunks", total, watch.get["chunks"])
+        said(total, total)
         return counts
 
     def search(self, questions: DataFrame | str, k: int | None = None, exact_distinct: bool = False) -> DataFrame:
@@ -81,14 +92,33 @@ class Index:
         made = prompt.context(self.search(asked, k)).join(asked, "query_id").withColumnRenamed("text", "question")
         return made.withColumn("prompt", prompt.chat_prompt(F.lit(template), F.col("question"), F.col("context")))
 
-    def build_graph(self, files: DataFrame, plugins=None) -> None:
-        """Extract and store the edges of files (source, text); those of other files stay."""
-        new = graph.extract_edges(files, plugins)
+    def build_graph(self, files: DataFrame, plugins=None) -> dict[str, int] | None:
+        """Extract and store the edges of files (source, text); those of other files stay.
+
+        With a file_hash, files are the whole tree: only those whose hash changed since the
+        last time are extracted, edges of files that are gone go, and counts by action are
+        returned; nothing is written if nothing changed.
+        """
+        known = lambda name, schema: self.collection.read(name) if self._has(name) else self.spark.createDataFrame([], schema)
+        old = known("edges", graph.EDGES)
+        if "file_hash" not in files.columns:
+            self.collection.commit({"edges": graph.replace_edges(old, files.select("source"), graph.extract_edges(files, plugins))})
+            return None
+        classified = sync.classify(files.select("source", "file_hash"), known("edge_files", "source string, file_hash string")).persist()
+        counts = {r.action: r.n for r in sync.summary(classified).collect()}  # four rows
+        if counts["add"] + counts["update"] + counts["delete"] or not self._has("edges"):
+            new = graph.extract_edges(files.join(classified.where(F.col("action").isin("add", "update")).select("source"), "source", "left_semi"), plugins)
+            gone = classified.where("action <> 'unchanged'").select("source")
+            self.collection.commit({"edges": graph.replace_edges(old, gone, new), "edge_files": classified.where("action <> 'delete'").select("source", "file_hash")})
+        classified.unpersist()
+        return counts
+
+    def _has(self, table: str) -> bool:
         try:
-            old = self.collection.read("edges")
+            self.collection.read(table)
         except FileNotFoundError:
-            old = self.spark.createDataFrame([], graph.EDGES)
-        self.collection.commit({"edges": graph.replace_edges(old, files.select("source"), new)})
+            return False
+        return True
 
     def hybrid_search(self, question: str, k: int | None = None) -> DataFrame:
         """Files by fused score; by vectors alone if the graph is off or can't be read."""

@@ -117,3 +117,35 @@ def test_failing_plugin_gives_no_edges(spark):
 
     out = graph.extract_edges(spark.createDataFrame([("a.bad", "x")], "source string, text string"), graph.Registry([Bad()]))
     assert out.count() == 0
+
+
+def test_graph_is_built_again_for_changed_files_only(spark, tmp_path):
+    from tamarack.operators.index import Index
+
+    class Plugin(graph.HtmlPlugin):
+        def extract_edges(self, path, text):
+            yield f"{path}:{text}", "REFERENCES", 1.0
+
+    def build(rows):
+        return index.build_graph(spark.createDataFrame(rows, "source string, file_hash string, text string"), graph.Registry([Plugin()]))
+
+    index = Index(spark, str(tmp_path))
+    assert build([("a.html", "1", "x"), ("b.html", "1", "y")])["add"] == 2
+    version = index.collection._state()["version"]
+    assert build([("a.html", "1", "not read"), ("b.html", "1", "y")])["unchanged"] == 2 and index.collection._state()["version"] == version
+    assert build([("a.html", "1", "not read"), ("b.html", "2", "z"), ("c.html", "1", "w")]) == {"add": 1, "update": 1, "delete": 0, "unchanged": 1}
+    assert {r.dst for r in index.collection.read("edges").collect()} == {"a.html:x", "b.html:z", "c.html:w"}
+    assert build([("c.html", "1", "w")])["delete"] == 2
+    assert {r.dst for r in index.collection.read("edges").collect()} == {"c.html:w"}
+
+
+def test_hybrid_search_has_no_window_over_the_corpus(spark, tmp_path):
+    from tamarack.operators.index import Index
+
+    index = Index(spark, str(tmp_path))
+    index.sync_files(spark.createDataFrame([(f"src/m{i}.txt", str(i), f"some text about topic number {i % 5} and more of it") for i in range(40)], "source string, file_hash string, text string"), syntax=False)
+    index.build_graph(spark.createDataFrame([("src/m0.txt", "x")], "source string, text string"))
+    out = index.hybrid_search("topic number 3", k=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "1073741824" not in plan and "CartesianProduct" not in plan
+    assert out.count() == 4

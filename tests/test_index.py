@@ -102,7 +102,9 @@ def test_collections(spark, tmp_path):
 
 def test_sync_and_search(spark, repo, tmp_path):
     index = Index(spark, str(tmp_path / "index"), Config(max_file_bytes=5000))
-    assert index.sync(str(repo))["add"] == 12
+    told = []
+    assert index.sync(str(repo), on_progress=lambda done, total: told.append((done, total)))["add"] == 12
+    assert told[0][0] == 0 and told[-1][0] == told[-1][1] == told[0][1] > 0
     version = index.collection._state()["version"]
     assert index.sync(str(repo)) == {"add": 0, "delete": 0, "update": 0, "unchanged": 12}
     assert index.collection._state()["version"] == version  # nothing changed, nothing was written

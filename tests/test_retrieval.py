@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,36 @@ def test_long_questions_and_token_streams(spark):
     assert prompt.token_stream(parts).first().answer == "Hey"
     asked = spark.createDataFrame([("what is alpha", "Alpha is one. Beta is two.")], "question string, context string")
     assert prompt.ExtractiveAnswerer().answer(asked).first().answer == "Alpha is one."
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, "s", [rng.random() for _ in range(4)]) for i in range(60)], "id long, source string, embedding array<double>")
+    q = v.where("id % 2 = 0").select(F.col("id").alias("query_id"), "embedding")
+    whole = sorted((r.query_id, r.rank, r.id) for r in retrieval.nearest(v, q, 5).collect())
+    monkeypatch.setattr(retrieval, "BLOCK_VALUES", 16)
+    found = retrieval.nearest(v, q, 5)
+    assert sorted((r.query_id, r.rank, r.id) for r in found.collect()) == whole
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_that_are_cancelled(spark):
+    parts = [{"message": {"content": "a"}}, {"message": {"content": "b"}}, {"message": {}, "done": True}, {"message": {"content": "late"}}]
+    heard = []
+    assert prompt.emit(parts, heard.append) == ("ab", True) and heard == ["a", "b"]
+    assert prompt.emit(parts, is_cancelled=lambda: True) == ("", False)
+    messages = spark.createDataFrame([("s", 1, "a", False), ("s", 2, "b", True), ("t", 1, "c", False)], "stream_id string, seq long, content string, done boolean")
+    stop = spark.createDataFrame([("s", 1)], "stream_id string, last_seq long")
+    assert {(r.stream_id, r.answer, r.finished) for r in prompt.token_stream(messages, stop).collect()} == {("s", "a", False), ("t", "c", False)}
+
+
+def test_prompts_and_estimates(spark, tmp_path):
+    from tamarack import config
+    from tamarack.operators import diagnostics
+
+    config.save_prompts(f"{tmp_path}/p.json", {"summarizer": "a", "chat": "b", "other": "c"})
+    assert config.load_prompts(f"{tmp_path}/p.json") == {"summarizer": "a", "chat": "b"}
+    with pytest.raises(ValueError):
+        config.save_prompts(f"{tmp_path}/p.json", {"chat": "b"})
+    row = diagnostics.estimate(spark.range(100), 4).first()
+    assert (row.files, round(row.fast_seconds, 6), round(row.syntax_seconds, 6)) == (100, 1.5, 9.25)
