@@ -104,7 +104,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL
     count sets. Rows: label, held (back), size (bytes), hashes and shares of the features
     of a whole text or, for texts held back, of a piece of it.
     """
-    use = docs.where("lang is not null and text is not null")
+    use = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = use.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], None

@@ -52,6 +52,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(kept["decontamination"])
 
 
+def test_clashing_columns_repeated_rows_and_nulls(spark, tmp_path):
+    """Each stage keeps columns with names that operators use themselves, and treats repeated rows alike."""
+    clash = ["d_", "r_", "dropped_", "new_", "id", "rid", "label", "band", "score", "rejected", "letters_", "kept", "y", "cut", "component_id", "n_chars_"]
+    data = [(i, t, lang, "s", len(t or "")) for i, t, lang in rows()] * 2 + [(None, "der die das und nicht eine mit auf werden haben", "de", "s", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'x' as {c}" for c in clash))
+    spark.createDataFrame([(1, ITEM), (None, ITEM), (2, None)], "item_id long, text string").selectExpr("*", "'x' as rid", "'y' as hash").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+        times = {}
+        for r in docs.collect():
+            times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert times and all(n == 2 for i, n in times.items() if i is not None)
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= docs.count()
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
