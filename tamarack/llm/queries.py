@@ -16,8 +16,10 @@ QUERIES = {
     "op9_nearest_neighbours": ann.query,
     "op10_license_scan": licenses.query,
 }
-#: Trained models, approximate search and the tokeniser are not for SQL; tests/llm compares those with brute force.
+#: Models trained here, approximate search and the tokeniser are not for SQL; tests/llm compares those with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": oracle.LINE_DEDUP,
     "op4_near_dedup": oracle.NEAR_DEDUP,
+    "op6_secret_scan": oracle.secret_scan(),
+    "op10_license_scan": oracle.license_scan(),
 }
