@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -79,24 +80,34 @@ def far_queries(hits: DataFrame, limit: float) -> DataFrame:
     return hits.groupBy("query_id").agg(F.min("distance").alias("best")).where(F.col("best") > limit)
 
 
-def approximate(chunks: DataFrame, queries: DataFrame, n: int, cells: int = 64, probes: int = 8, key: str = "id", seed: int = 1) -> DataFrame:
-    """nearest() within the cells whose centres are nearest each query (k-means, unit vectors).
+def approximate(chunks: DataFrame, queries: DataFrame, n: int, metric: str = "l2sq", cells: int | None = None, probes: int | None = None, key: str = "id", seed: int = 1) -> DataFrame:
+    """nearest() within the cells whose centres are nearest each query (k-means).
 
-    Chunks and queries meet by an equi-join on the cell; recall grows with probes.
+    Chunks and queries meet by an equi-join on the cell. By default there are as many cells
+    as the square root of the chunks' number, CELLS at most, and a query looks into an
+    eighth of them; recall grows with probes. Centres are learned from about SAMPLE chunks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    size = chunks.count()
+    cells = cells or max(1, min(CELLS, math.isqrt(size)))
+    probes = probes or -(-cells // 8)
     data = chunks.withColumn("v_", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, featuresCol="v_", predictionCol="cell", maxIter=10).fit(data)
+    few = data if size <= SAMPLE else data.where(F.pmod(F.xxhash64(key), F.lit(size)) < SAMPLE)
+    model = KMeans(k=cells, seed=seed, featuresCol="v_", predictionCol="cell", maxIter=10).fit(few)
     spark = chunks.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id int, embedding array<double>")
     asked = nearest(centres, queries, probes).select("query_id", F.col("id").alias("cell")).join(queries.select("query_id", F.col("embedding").alias("q_")), "query_id")
-    met = model.transform(data).drop("v_").join(asked, "cell").withColumn("distance", distance(F.col("embedding"), F.col("q_"))).drop("embedding", "q_", "cell")
+    met = model.transform(data).drop("v_").join(asked, "cell").withColumn("distance", distance(F.col("embedding"), F.col("q_"), metric)).drop("embedding", "q_", "cell")
     order = W.partitionBy("query_id").orderBy("distance", key)
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+#: Cells of an approximate search at most, and chunks from which their centres are learned, about.
+CELLS, SAMPLE = 4096, 200_000
+
+
 def lines(hits: DataFrame) -> DataFrame:
     """query_id, rank, line: one printable entry a hit."""
     shown = F.when(F.length("document") > 600, F.concat(F.substring("document", 1, 600), F.lit("..."))).otherwise(F.col("document"))

@@ -138,3 +138,19 @@ def test_prompts_and_estimates(spark, tmp_path):
         config.save_prompts(f"{tmp_path}/p.json", {"chat": "b"})
     row = diagnostics.estimate(spark.range(100), 4).first()
     assert (row.files, round(row.fast_seconds, 6), round(row.syntax_seconds, 6)) == (100, 1.5, 9.25)
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_recall_of_the_approximate_search(spark, metric):
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = []
+    for i in range(2000):
+        v = [x + 0.4 * rng.gauss(0, 1) for x in rng.choice(centres)]
+        length = math.sqrt(sum(x * x for x in v))
+        rows.append((i, [x / length for x in v]))
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.where("id % 40 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.id) for r in retrieval.nearest(v, q, 10, metric).collect()}
+    found = {(r.query_id, r.id) for r in retrieval.approximate(v, q, 10, metric).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
