@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 import re
 import zlib
 
@@ -140,12 +141,13 @@ def places(packed: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, i
     return out
 
 
-def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None, salted: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str | None = None, salted: int = 500) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece.
 
     docs: doc_id, text; other columns are left alone. Ranks are counted in parts: pieces of
-    a length are dealt over salts, one for every ``salted`` pieces of that length, so a length
-    that a third of the corpus shares is ranked by many tasks. A very long text is cut in one task.
+    a length are dealt over salts, each of ``salted`` pieces or the square root of the length's
+    pieces, if that is more. So neither the pieces of a salt nor the salts of a length, even
+    of one that a third of the corpus shares, are too many for a task. A very long text is cut in one task.
 
     Null ids and repeated rows are packed like others; pieces that tie in every column are
     interchangeable. A null or empty text is the end id alone; an empty table gives no rows.
@@ -154,7 +156,8 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str
     cut = common.written(pieces(docs, size, end_id, tokenizer), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
     found = places(patterns(histogram, size))
-    salts = F.get(F.array(*(F.lit(-(-histogram.get(n, 1) // salted)) for n in range(size + 1))), F.col("length").cast("int"))  # of each length
+    each = lambda n: -(-n // max(salted, math.isqrt(n)))
+    salts = F.get(F.array(*(F.lit(each(histogram.get(n, 1))) for n in range(size + 1))), F.col("length").cast("int"))  # of each length
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
