@@ -91,11 +91,12 @@ def chunk_id(source: Column, index: Column) -> Column:
     return F.concat(source, F.lit("::chunk_"), index.cast("string"))
 
 
-def byte_size(n: Column) -> Column:
-    """1536 -> 1.5 KB."""
-    out = F.format_string("%.1f PB", n / 1024.0**5)
-    for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+def byte_size(n: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB", "PB")) -> Column:
+    """1536 -> 1.5 KB; the last unit takes whatever is larger."""
+    of = lambda power, unit: F.format_string(f"%.1f {unit}", n / 1024.0**power)
+    out = of(len(units) - 1, units[-1])
+    for power, unit in reversed(list(enumerate(units[:-1]))):
+        out = F.when(n < 1024 ** (power + 1), of(power, unit)).otherwise(out)
     return out
 
 

@@ -71,3 +71,21 @@ def test_small_helpers(spark):
     assert column(spark, ["p"], lambda c: T.chunk_id(c, F.lit(3))) == ["p::chunk_3"]
     assert column(spark, ["p"], lambda c: T.with_header(c, F.lit("body"))) == ["// p\nbody"]
     assert column(spark, [{"a": True, "b": False}], T.enabled, "map<string,boolean>") == [1]
+
+
+def test_sizes_beyond_the_last_unit(spark):
+    short = lambda c: T.byte_size(c, ("B", "KB", "MB", "GB", "TB"))
+    assert column(spark, [1536, 3 << 50], short, "long") == ["1.5 KB", "3072.0 TB"]
+    assert column(spark, [3 << 50], T.byte_size, "long") == ["3.0 PB"]
+
+
+def test_sizes_of_long_texts_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tamarack.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS doc_id, '' AS text, 'en' AS lang, 's' AS source, i * 20011 AS n_chars FROM range(12) t(i)) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    rows = registry.QUERIES["q35_scalar_helpers"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(registry.ORACLE_SQL["q35_scalar_helpers"]).fetchall())
