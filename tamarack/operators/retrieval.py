@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Numbers in the vectors of the queries that are sent to every task at once; more queries go in blocks.
-BLOCK_VALUES = 1_000_000
+from . import pairs
+
+#: Numbers in the vectors of a block of chunks, about; of queries a quarter.
+BLOCK_VALUES = 2_000_000
+#: Queries that are sent to every task, which then needs no Python; more go in blocks.
+FEW = 8
 
 
 def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
@@ -26,24 +29,41 @@ def distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _distances(chunks: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
-    """Every query with every chunk. Queries are counted and broadcast in blocks of BLOCK_VALUES numbers, each with its own scan."""
-    few = queries.select("query_id", F.col("embedding").alias("query_embedding"))
-    values = few.agg(F.sum(F.size("query_embedding").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-values // BLOCK_VALUES))
-    parts = [few.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else few for i in range(blocks)]
-    met = [chunks.join(F.broadcast(part)).withColumn("distance", distance(F.col("embedding"), F.col("query_embedding"), metric)).drop("embedding", "query_embedding") for part in parts]
-    return functools.reduce(DataFrame.unionByName, met)
+def vectors(df: DataFrame, column: str, name: str) -> Column:
+    """An array column as floats or doubles."""
+    kind = df.schema[column].dataType.simpleString()
+    return (F.col(column) if kind in ("array<float>", "array<double>") else F.col(column).cast("array<double>")).alias(name)
+
+
+def _distances(chunks: DataFrame, queries: DataFrame, metric: str, n: int, key: str, by: str | None = None) -> DataFrame:
+    """Chunks with query_id and distance: a few queries with every chunk; of many, at least each one's n nearest, or nearest of n groups."""
+    if metric not in ("l2sq", "cosine", "ip"):
+        raise ValueError(f"unknown metric {metric!r}")
+    asked = queries.select("query_id", vectors(queries, "embedding", "query_embedding"))
+    if len(asked.select(F.lit(1)).take(FEW + 1)) <= FEW:
+        return chunks.join(F.broadcast(asked)).withColumn("distance", distance(F.col("embedding"), F.col("query_embedding"), metric)).drop("embedding", "query_embedding")
+    rows = chunks.withColumn("embedding", vectors(chunks, "embedding", "embedding"))
+
+    def best(a, b):
+        b, row, column, value = pairs.best(a, b, n, metric, key, by)
+        return b.drop_columns(["embedding", "part_", "block_"]).take(column).append_column("query_id", a["query_id"].take(row)).append_column("distance", value)
+
+    schema = chunks.drop("embedding").schema.add("query_id", queries.schema["query_id"].dataType).add("distance", "double")
+    return pairs.cells(rows, asked, key, BLOCK_VALUES).applyInArrow(best, schema)
+
+
+def _by(key: str, *columns) -> W:
+    """Nearest first, null last, ties to the smaller key."""
+    return W.partitionBy(*columns).orderBy(F.col("distance").asc_nulls_last(), F.col(key).asc_nulls_last())
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, n: int, metric: str = "l2sq", key: str = "id") -> DataFrame:
     """The n nearest chunks of each query by distance, then key; rank from 1.
 
     chunks: key, embedding and more; queries: query_id, embedding. Each task keeps n rows a
-    query before anything is shuffled (WindowGroupLimit).
+    query and block before anything is shuffled.
     """
-    order = W.partitionBy("query_id").orderBy("distance", key)
-    return _distances(chunks, queries, metric).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _distances(chunks, queries, metric, n, key).withColumn("rank", F.row_number().over(_by(key, "query_id"))).where(F.col("rank") <= n)
 
 
 def nearest_one(chunks: DataFrame, vector: list[float], n: int, metric: str = "l2sq", key: str = "id") -> DataFrame:
@@ -54,17 +74,16 @@ def nearest_one(chunks: DataFrame, vector: list[float], n: int, metric: str = "l
 
 def one_per_source(hits: DataFrame, k: int, key: str = "id") -> DataFrame:
     """Each source's nearest chunk, k sources a query; a null source counts as the empty string. Ranked anew."""
-    of = W.partitionBy("query_id", F.coalesce("source", F.lit(""))).orderBy("distance", key)
+    of = _by(key, "query_id", F.coalesce("source", F.lit("")))
     best = hits.withColumn("nth_", F.row_number().over(of)).where("nth_ = 1").drop("nth_")
-    order = W.partitionBy("query_id").orderBy("distance", key)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(_by(key, "query_id"))).where(F.col("rank") <= k)
 
 
 def nearest_sources(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", overfetch: int = 3, exact_distinct: bool = False, key: str = "id") -> DataFrame:
     """k sources a query. From the overfetch * k nearest chunks, or from all (exact_distinct)."""
     if not exact_distinct:
         return one_per_source(nearest(chunks, queries, overfetch * k, metric, key), k, key)
-    return one_per_source(_distances(chunks, queries, metric), k, key)
+    return one_per_source(_distances(chunks, queries, metric, k, key, "source"), k, key)
 
 
 def relative_scores(hits: DataFrame) -> DataFrame:
