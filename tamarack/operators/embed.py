@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import named
 from ..session import ship
 
 
@@ -27,21 +30,39 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Each token adds 1 to the bucket its MD5 names; the vector is scaled to length 1.
 
-    Works inside the plan, without Python workers: the counts of a row's tokens are summed
-    in an array, so nothing is shuffled. A text without tokens is the zero vector.
+    Lower-casing stays in the plan; tokens are counted in Arrow batches, where a worker
+    remembers the buckets of KNOWN tokens. Nothing is shuffled. A text that is null or
+    without tokens is the zero vector.
     """
 
+    KNOWN = 200_000
+
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
 
     def add(self, df: DataFrame, text: str = "document", out: str = "embedding") -> DataFrame:
-        d = self.dimensions
-        words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]+"), F.lit(0))
-        buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % d).cast("int"))
-        counted = lambda b: F.array(*((F.size(b) - F.size(F.array_remove(b, F.lit(i)))).cast("double") for i in range(d)))
-        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-        scaled = lambda c: named(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-        return df.withColumn(out, named(buckets, lambda b: named(counted(b), scaled)))
+        ship(df.sparkSession)
+        d, most = self.dimensions, self.KNOWN
+
+        @F.arrow_udf("array<double>")
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            buckets: dict[str, int] = {}
+            words = re.compile("[a-z0-9_]+")
+            for texts in batches:
+                counts = np.zeros((len(texts), d))
+                for row, t in enumerate(texts):
+                    found = words.findall(t.as_py() or "")
+                    if len(buckets) > most:
+                        buckets.clear()
+                    for w in found:
+                        if w not in buckets:
+                            buckets[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % d
+                    counts[row] = np.bincount([buckets[w] for w in found], minlength=d) if found else 0.0
+                length = np.sqrt((counts * counts).sum(1))  # whole numbers: exact in any order
+                counts /= np.where(length > 0, length, 1.0)[:, None]
+                yield pa.ListArray.from_arrays(np.arange(0, counts.size + 1, d, dtype=np.int32), pa.array(counts.ravel()))
+
+        return df.withColumn(out, embed(F.lower(F.col(text))))
 
 
 class FunctionEmbedder:

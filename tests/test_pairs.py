@@ -118,3 +118,21 @@ def test_cells_of_one_side():
     for a, b in ((asked.slice(0, 0), rows), (asked, rows.slice(0, 0))):
         assert [len(x) for x in pairs.best(a, b, 3, "l2sq", "id", None)[1:]] == [0, 0, 0]
         assert [len(x) for x in pairs.swept(a, b, [(0.3, 0.6)], 3, "id")[1:]] == [0, 0, 0, 0]
+
+
+def test_hashed_tokens_are_counted_once_in_batches(spark, monkeypatch):
+    import hashlib
+
+    from tamarack.operators.embed import HashingEmbedder
+
+    monkeypatch.setattr(HashingEmbedder, "KNOWN", 2)
+    texts = ["Alpha beta_1 alpha, gamma", "", None, "ÄÖ -- ", "x y z x İ K"]
+    found = HashingEmbedder(16).add(spark.createDataFrame(list(enumerate(texts)), "i int, document string"))
+    assert "array_remove" not in found._jdf.queryExecution().optimizedPlan().toString()
+    words = [["alpha", "beta_1", "alpha", "gamma"], [], [], [], ["x", "y", "z", "x", "i", "k"]]
+    for r in found.collect():
+        counts = [0] * 16
+        for w in words[r.i]:
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        length = math.sqrt(sum(c * c for c in counts))
+        assert r.embedding == [c / length if length else 0.0 for c in counts]
