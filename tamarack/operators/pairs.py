@@ -1,9 +1,11 @@
 """Every query with every chunk, in blocks of bounded size.
 
 Blocks of queries and of chunks meet in cells by an equi-join. In a cell a matrix product
-tells what may be among the nearest, with a margin above its rounding errors; the distances
-of these alone are summed in doubles, one component after the other, as the plan's own
-functions sum them. A cell returns what its chunks can add to each query's result.
+in single precision tells what may be among the nearest, with a margin above its rounding
+errors; the distances of these alone are summed in doubles, one component after the other,
+as the plan's own functions sum them. Queries of which single precision leaves too many, and
+rows that aren't plain, go by a product in doubles. A cell returns what its chunks can add to
+each query's result.
 
 Components that are null or that the shorter vector lacks are left out of sums; a distance
 without any component is null. NaN comes after all numbers, null after that.
@@ -23,6 +25,8 @@ from ..session import ship
 
 #: Distances in memory at once, about.
 DISTANCES = 1 << 22
+#: In single precision: chunks and queries of a tile, which stays in a core's cache, and chunks of which the least distance is kept.
+TILE, ASKED, PIECE = 1024, 512, 128
 
 
 class Rows:
@@ -99,16 +103,17 @@ class Near:
             self.offset, y = (y * y).sum(1), 2 * y
         self.right = np.ascontiguousarray(-y.T)
         far, of = b.length[self.fine].max(initial=0.0), a.length[self.good]
+        self.longest = max(far, of.max(initial=0.0))
         size = {"l2sq": (of + far) ** 2, "ip": of * far, "cosine": np.full(len(of), 4.0)}[metric]
         #: For each query, twice what two computations of a distance can differ by.
         self.margin = np.zeros(len(a))
         self.margin[self.good] = 4 * (a.x.shape[1] + 8) * np.finfo(float).eps * size
         self.at = np.cumsum(self.good) - 1
 
-    def block(self, i: int, j: int) -> np.ndarray:
-        """Those of queries i to j; NaN and null are infinite."""
-        good, fine = self.good[i:j], self.fine
-        p = self.left[self.at[i:j][good]] @ self.right
+    def block(self, rows: np.ndarray) -> np.ndarray:
+        """Those of some queries; NaN and null are infinite."""
+        good, fine = self.good[rows], self.fine
+        p = self.left[self.at[rows][good]] @ self.right
         p += self.offset
         if good.all() and fine.all():
             return p
@@ -116,15 +121,91 @@ class Near:
         d[np.ix_(good, fine)] = p
         odd = ~(good[:, None] & fine)
         row, column = np.nonzero(odd)
-        values, _ = exact(self.a, self.b, row + i, column, self.metric)
+        values, _ = exact(self.a, self.b, rows[row], column, self.metric)
         if self.metric == "l2sq":
-            values = values - np.where(good, self.a.length[i:j] ** 2, 0.0)[row]
+            values = values - np.where(good, self.a.length[rows] ** 2, 0.0)[row]
         elif self.metric == "cosine":
             values = values - 1
         d[odd] = np.where(np.isnan(values), np.inf, values)
         return d
 
 
+class Sieve:
+    """What may be near, by products in single precision: good queries with fine chunks alone.
+
+    Tiles of chunks are cut into pieces, which end where a group ends. A first pass keeps the
+    least distance of each piece; n pieces, or groups, bound what may be among the nearest. A
+    second pass looks into the tiles where something may be below that.
+    """
+
+    def __init__(self, near: Near, n: int, group: np.ndarray | None):
+        self.n, self.chunks, self.queries = n, np.nonzero(near.fine)[0], np.nonzero(near.good)[0]
+        self.others = len(near.b) - len(self.chunks)
+        # numbers up to 1; a power of two rounds nothing
+        scale = 2.0 ** -np.ceil(np.log2(near.longest)) if near.metric != "cosine" and near.longest else 1.0
+        self.left = np.ones((len(self.queries), near.right.shape[0] + 1), np.float32)
+        self.left[:, :-1] = near.left * scale
+        self.right = np.empty((len(self.chunks), self.left.shape[1]), np.float32)
+        self.right[:, :-1], self.right[:, -1] = (near.right * scale).T, near.offset * scale**2
+        self.margin = near.margin[self.queries] * (np.finfo(np.float32).eps / np.finfo(float).eps) * scale**2 + 1e-30
+        at = np.arange(len(self.chunks))
+        if group is None:
+            new = at % TILE % min(max(len(at) // (8 * n), 1), PIECE) == 0
+        else:
+            group = group[self.chunks]
+            starts = np.r_[True, group[1:] != group[:-1]] if len(at) else np.zeros(0, bool)
+            new = starts | (at % TILE == 0)
+            self.of = np.cumsum(starts)[new] - 1  # each piece's group
+            self.groups = np.nonzero(starts[new])[0]
+        self.grouped, self.pieces = group is not None, np.nonzero(new)[0]
+        self.sizes = np.diff(np.r_[self.pieces, len(at)])
+        ends = np.r_[at[::TILE], len(at)]
+        self.tiles = [(s, e, *self.pieces.searchsorted([s, e])) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """Places in left; of their distances to pieces, and to chunks that aren't fine, so many fit into memory."""
+        return _blocks(np.arange(len(self.queries)), max(len(self.pieces), self.others), ASKED)
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, chunks, queries of which there are too many)."""
+        left, margin, n = self.left[rows], self.margin[rows, None], self.n
+        low = np.empty((len(rows), len(self.pieces)), np.float32)
+        for s, e, i, j in self.tiles:
+            np.minimum.reduceat(left @ self.right[s:e].T, self.pieces[i:j] - s, 1, out=low[:, i:j])
+        least = np.minimum.reduceat(low, self.groups, 1) if self.grouped and low.size else low
+        limit = np.full((len(rows), 1), np.inf)
+        if least.shape[1] > n:
+            limit = np.partition(least, n - 1, 1)[:, n - 1 : n] + margin
+        if self.grouped:
+            limit = np.where(least <= limit, least + margin, -np.inf)[:, self.of]
+        limit = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+        wanted, count, out = low <= limit, np.zeros(len(rows), np.int64), []
+        for s, e, i, j in self.tiles:
+            at = np.nonzero(wanted[:, i:j].any(1) & (count <= self.many))[0]
+            if len(at):
+                bound = np.repeat(limit[at, i:j], self.sizes[i:j], 1) if self.grouped else limit[at]
+                row, column = _set(left[at] @ self.right[s:e].T <= bound)
+                count[at] += np.bincount(row, minlength=len(at))
+                out.append((at[row], column + s))
+        row, column = (np.concatenate(x) for x in zip(*out, strict=True)) if out else np.zeros((2, 0), np.int64)
+        few = count[row] <= self.many
+        return self.queries[rows[row[few]]], self.chunks[column[few]], self.queries[rows[count > self.many]]
+
+    @property
+    def many(self) -> int:
+        """Chunks of a query from which on doubles tell more."""
+        return 4 * self.n + 64
+
+
+def _set(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of what is nearly all false, by words of eight."""
+    if bits.shape[1] % 8:
+        return np.nonzero(bits)
+    words = np.flatnonzero(bits.view(np.uint64).ravel())
+    at, byte = np.nonzero(bits.reshape(-1, 8)[words])
+    return np.divmod(words[at] * 8 + byte, bits.shape[1])
+
+
 def firsts(rows: Rows, limit: int, *groups: np.ndarray) -> np.ndarray:
     """Places of rows, but of equal vectors in equal groups only the first so many."""
     parts = [rows.x, *(g.astype(float)[:, None] for g in groups)] + ([] if rows.there.all() else [rows.there.astype(float)])
@@ -169,10 +250,24 @@ def _places(d: np.ndarray, margin: np.ndarray, n: int, starts: np.ndarray | None
     return np.nonzero(d <= np.repeat(limit, np.diff(np.r_[starts, d.shape[1]]), 1))
 
 
-def _blocks(near: Near, columns: int) -> Iterator[tuple[int, int]]:
-    step = max(1, DISTANCES // max(1, columns))
-    for i in range(0, len(near.a), step):
-        yield i, min(i + step, len(near.a))
+def _blocks(rows: np.ndarray, columns: int, most: int | None = None) -> Iterator[np.ndarray]:
+    step = max(1, min(DISTANCES // max(1, columns), most or DISTANCES))
+    for i in range(0, len(rows), step):
+        yield rows[i : i + step]
+
+
+def _candidates(near: Near, n: int, group: np.ndarray | None, starts: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may be among a query's n nearest, or be the nearest of one of its n nearest groups; all of a query's at once."""
+    sieve, rest = Sieve(near, n, group), [np.nonzero(~near.good)[0]]
+    odd = np.nonzero(~near.fine)[0]
+    for block in sieve.blocks():
+        row, column, hard = sieve.places(block)
+        rest.append(hard)
+        asked = np.setdiff1d(sieve.queries[block], hard, assume_unique=True)
+        yield np.r_[row, np.repeat(asked, len(odd))], np.r_[column, np.tile(odd, len(asked))]
+    for rows in _blocks(np.concatenate(rest), len(near.b)):
+        row, column = _places(near.block(rows), near.margin[rows], n, starts)
+        yield rows[row], column
 
 
 def best(asked: pa.Table, chunks: pa.Table, n: int, metric: str, key: str, by: str | None) -> tuple[pa.Table, np.ndarray, np.ndarray, pa.Array]:
@@ -189,16 +284,15 @@ def best(asked: pa.Table, chunks: pa.Table, n: int, metric: str, key: str, by: s
         at = at[np.argsort(group[at], kind="stable")]
     b, group = b.take(at), group[at]
     starts = np.nonzero(np.r_[True, group[1:] != group[:-1]])[0] if by else None
-    near, out = Near(a, b, metric), []
-    for i, j in _blocks(near, len(b)):
-        row, column = _places(near.block(i, j), near.margin[i:j], n, starts)
-        value, null = exact(a, b, row + i, column, metric)
+    out = [(none, none, np.zeros(0), np.zeros(0, bool))]
+    for row, column in _candidates(Near(a, b, metric), n, group if by else None, starts):
+        value, null = exact(a, b, row, column, metric)
         order = np.lexsort((at[column], value, null, row))
         if by:
             _, first = np.unique(row[order] * len(b) + starts.searchsorted(column[order], "right"), return_index=True)
             order = order[np.sort(first)]
         order = order[_nth(row[order]) < n]
-        out.append((row[order] + i, at[column[order]], value[order], null[order]))
+        out.append((row[order], at[column[order]], value[order], null[order]))
     row, column, value, null = (np.concatenate(x) for x in zip(*out, strict=True))
     return chunks, row, column, pa.array(value, mask=null)
 
@@ -223,8 +317,8 @@ def swept(asked: pa.Table, chunks: pa.Table, weights: list[tuple[float, float]],
     few = np.union1d(firsts(alike, k, lev, far), np.nonzero(~near.fine)[0])  # where cosines don't count
     every = np.arange(len(b))
     with np.errstate(all="ignore"):
-        for i, j in _blocks(near, len(b)):
-            cos = -near.block(i, j)  # NaN and null: -inf
+        for rows in _blocks(np.arange(len(a)), len(b)):
+            cos = -near.block(rows)  # NaN and null: -inf
             for w, (alpha, beta) in enumerate(weights):
                 use = few if alpha == 0 else every
                 decay = np.where(far[use] == 0, 1.0, beta ** far[use])
@@ -234,13 +328,13 @@ def swept(asked: pa.Table, chunks: pa.Table, weights: list[tuple[float, float]],
                 lost = ~np.isfinite(score)
                 score[lost] = np.inf
                 last = np.partition(score, k - 1, 1)[:, k - 1] if score.shape[1] > k else np.full(len(score), np.finfo(float).max)
-                chosen = score <= np.minimum(last + near.margin[i:j] + 4e-9, np.finfo(float).max)[:, None]
+                chosen = score <= np.minimum(last + near.margin[rows] + 4e-9, np.finfo(float).max)[:, None]
                 if lost.any():  # NaN is first, null last, each by key
-                    null = lost & (a.there[i:j].astype(float) @ b.there[use].T.astype(float) == 0)
+                    null = lost & (a.there[rows].astype(float) @ b.there[use].T.astype(float) == 0)
                     for these in (null, lost & ~null):
                         chosen |= these & (np.cumsum(these, 1) <= k)
                 row, column = np.nonzero(chosen)
-                out.append((np.full(len(row), w), row + i, use[column]))
+                out.append((np.full(len(row), w), rows[row], use[column]))
     number, row, column = (np.concatenate(x) for x in zip(*out, strict=True))
     value, null = exact(a, b, row, column, "cosine")
     return chunks, number, row, at[column], pa.array(value, mask=null)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import pairs
 
 #: Numbers in the vectors of a block of chunks, about; of queries a quarter.
-BLOCK_VALUES = 2_000_000
+BLOCK_VALUES = 4_000_000
 #: Queries that are sent to every task, which then needs no Python; more go in blocks.
 FEW = 8
 

@@ -136,3 +136,68 @@ def test_hashed_tokens_are_counted_once_in_batches(spark, monkeypatch):
             counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
         length = math.sqrt(sum(c * c for c in counts))
         assert r.embedding == [c / length if length else 0.0 for c in counts]
+
+
+def cell(vectors, asked):
+    import pyarrow as pa
+
+    rows = pa.table({"id": list(range(len(vectors))), "source": [f"s{i % 6}" for i in range(len(vectors))], "embedding": pa.array(vectors, pa.list_(pa.float64()))})
+    return pa.table({"query_id": asked, "query_embedding": rows["embedding"].take(pa.array(asked))}), rows
+
+
+def one_by_one(a, b, metric):
+    """distance, but lengths are summed without the compensation of sum()."""
+    if metric != "cosine" or distance(a, b, "ip") is None:
+        return distance(a, b, metric)
+    length = math.sqrt(-distance(a, a, "ip")) * math.sqrt(-distance(b, b, "ip"))
+    return 1 + distance(a, b, "ip") / length if length else math.nan
+
+
+def check_cell(vectors, asked, n, metric, by):
+    a, b = cell(vectors, asked)
+    found, row, column, value = pairs.best(a, b, n, metric, "id", by)
+    got = {}
+    for r, c, d in zip(row.tolist(), found["id"].take(column).to_pylist(), value.to_pylist(), strict=True):
+        got.setdefault(r, []).append((c, d))
+    for r, q in enumerate(asked):
+        want = sorted(((i, one_by_one(v, vectors[q], metric)) for i, v in enumerate(vectors)), key=order)
+        if by:
+            firsts = {}
+            for h in want:
+                firsts.setdefault(h[0] % 6, h)
+            want = list(firsts.values())
+        assert [i for i, _ in sorted(got[r], key=order)[:n]] == [i for i, _ in want[:n]], (r, metric, by)
+    return got
+
+
+@pytest.mark.parametrize("by", [None, "source"])
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+@pytest.mark.parametrize("size", [1.0, 1e40, 1e-40])
+def test_plain_vectors_need_no_product_in_doubles(monkeypatch, metric, by, size):
+    monkeypatch.setattr(pairs, "TILE", 96)
+    monkeypatch.setattr(pairs, "ASKED", 7)
+
+    def refuse(*_):
+        raise AssertionError("a product in doubles")
+
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 1) * size for _ in range(12)] for _ in range(900)]
+    with monkeypatch.context() as m:
+        m.setattr(pairs.Near, "block", refuse)
+        check_cell(vectors, list(range(0, 900, 40)), 5, metric, by)
+    vectors[::50] = [None, [math.nan] * 12, [0.0] * 12] * 6  # and with rows that aren't plain
+    check_cell(vectors, list(range(0, 900, 25)), 5, metric, by)
+
+
+@pytest.mark.parametrize("by", [None, "source"])
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_differences_below_single_precision(monkeypatch, metric, by):
+    monkeypatch.setattr(pairs, "TILE", 96)
+    doubles, block = [], pairs.Near.block
+    monkeypatch.setattr(pairs.Near, "block", lambda self, rows: doubles.extend(rows) or block(self, rows))
+    rng = random.Random(8)
+    vectors = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(400)]
+    vectors += [[x + rng.gauss(0, 1) * 1e-9 for x in vectors[3]] for _ in range(300)] + [[x * (1 + rng.random() * 1e-8) for x in vectors[5]] for _ in range(40)]
+    asked = [3, 5, 7, *range(400, 740, 20)]
+    check_cell(vectors, asked, 5, metric, by)
+    assert metric != "l2sq" or {i for i, q in enumerate(asked) if q == 3 or 400 <= q < 700} <= set(doubles)  # too many in single precision
